@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 #: query -> (module, function, function that gives its SQL or None)
 _QUERIES = {
     "op1_quality_rules": ("quality", "op1_quality_rules", "oracle_quality_rules"),
+    "op4_mixing": ("mixing", "op4_mixing", "oracle_mixing"),
+    "op9_simhash_dedup": ("simhash", "op9_simhash_dedup", None),
 }
 
 
