@@ -12,6 +12,8 @@ _QUERIES = {
     "op1_quality_rules": ("quality", "op1_quality_rules", "oracle_quality_rules"),
     "op4_mixing": ("mixing", "op4_mixing", "oracle_mixing"),
     "op9_simhash_dedup": ("simhash", "op9_simhash_dedup", None),
+    "op7_media_columns": ("media", "op7_media_columns", None),
+    "op10_packing": ("packing", "op10_packing", None),
 }
 
 
