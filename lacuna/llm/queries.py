@@ -14,6 +14,7 @@ _QUERIES = {
     "op9_simhash_dedup": ("simhash", "op9_simhash_dedup", None),
     "op7_media_columns": ("media", "op7_media_columns", None),
     "op10_packing": ("packing", "op10_packing", None),
+    "op5_pii": ("pii", "op5_pii", None),
 }
 
 
