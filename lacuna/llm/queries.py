@@ -15,6 +15,7 @@ _QUERIES = {
     "op7_media_columns": ("media", "op7_media_columns", None),
     "op10_packing": ("packing", "op10_packing", None),
     "op5_pii": ("pii", "op5_pii", None),
+    "op8_lm_scoring": ("lm", "op8_lm_scoring", None),
 }
 
 
