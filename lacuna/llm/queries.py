@@ -16,6 +16,7 @@ _QUERIES = {
     "op10_packing": ("packing", "op10_packing", None),
     "op5_pii": ("pii", "op5_pii", None),
     "op8_lm_scoring": ("lm", "op8_lm_scoring", None),
+    "op2_line_dedup": ("lines", "op2_line_dedup", None),
 }
 
 
