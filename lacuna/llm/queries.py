@@ -17,6 +17,8 @@ _QUERIES = {
     "op5_pii": ("pii", "op5_pii", None),
     "op8_lm_scoring": ("lm", "op8_lm_scoring", None),
     "op2_line_dedup": ("lines", "op2_line_dedup", None),
+    "op3_token_counts": ("token_scan", "op3_token_counts", None),
+    "op6_chat_rotation": ("chat", "op6_chat_rotation", "oracle_chat_rotation"),
 }
 
 
