@@ -1,11 +1,15 @@
-"""All queries over the reference's operators, with their SQL."""
+"""All queries over the engine's operators, with their SQL where SQL can express them."""
 
 from __future__ import annotations
 
+from . import catalogue_kernels, catalogue_series, catalogue_spectral, catalogue_tables
+
+_PARTS = (catalogue_series, catalogue_tables, catalogue_spectral, catalogue_kernels)
+
 
 def queries() -> dict:
-    return {}
+    return {name: q for part in _PARTS for name, (q, _) in part.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: sql for part in _PARTS for name, (_, sql) in part.QUERIES.items() if sql}
