@@ -99,13 +99,15 @@ class Chunk:
 def _chunks(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[Chunk]:
     ids, texts, size = [], [], 0
     for batch in batches:
-        for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            ids.append(doc)
-            texts.append(text)
-            size += len(text or "") + 16
-            if size >= limit:
-                yield Chunk(ids, texts)
-                ids, texts, size = [], [], 0
+        for at in range(0, batch.num_rows, 256):  # a whole batch as Python strings would double its memory
+            part = batch.slice(at, 256)
+            for doc, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
+                ids.append(doc)
+                texts.append(text)
+                size += len(text or "") + 16
+                if size >= limit:
+                    yield Chunk(ids, texts)
+                    ids, texts, size = [], [], 0
     if ids:
         yield Chunk(ids, texts)
 
