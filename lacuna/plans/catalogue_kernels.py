@@ -90,6 +90,11 @@ def experiment_grid(spark, d):
     return s.select("method", "fraction", r("rmse_mean").alias("rmse_mean"), r("prr").alias("prr"))
 
 
+@query("ls_multi_term")
+def ls_multi_term(spark, d):
+    return per.multi_term_peaks(src.events_series(spark, d)).select("series_id", r("period").alias("period"), r("power", 4).alias("power"))
+
+
 def _features(spark, d) -> DataFrame:
     e = src.events_series(spark, d)
     f = ft.shape_features(e)

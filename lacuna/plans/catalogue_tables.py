@@ -67,6 +67,13 @@ def method_ranking(spark, d):
     return metrics.ranking(s, "rmse")
 
 
+@query("prr_curve", f"WITH {RAW} SELECT method, fraction, {q('avg((rmse < 30)::INTEGER)')} AS prr FROM raw GROUP BY ALL ORDER BY 1, 2")
+def prr_curve(spark, d):
+    """Share of the runs that meet a bound, by fraction: the curve behind a recovery plot."""
+    hit = (F.col("rmse") < 30).cast("double")
+    return raw(spark, d).groupBy("method", "fraction").agg(r(F.avg(hit)).alias("prr")).orderBy("method", "fraction")
+
+
 PAIRS = RAW + """,
 pr AS (SELECT a.fraction, a.method, a.seed, b.rmse AS x, a.rmse AS y FROM raw a JOIN raw b ON a.fraction = b.fraction AND a.seed = b.seed AND b.method = 'Linear-Interp' WHERE a.method <> 'Linear-Interp'),
 dd AS (SELECT *, x - y AS d, round(abs(x - y), 12) AS a FROM pr WHERE x <> y),

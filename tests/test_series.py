@@ -135,3 +135,9 @@ def test_sinks_and_schema(spark, tmp_path):
     with pytest.raises(SchemaError):
         require(df, ["absent"])
     assert nan_to_null(spark.createDataFrame([(float("nan"),)], "x double")).first().x is None
+
+
+def test_multi_term_period(sine):
+    t, y, df = sine
+    x = df.withColumn("flux", F.sin(2 * np.pi * F.col("t") / 3.0) ** 3)
+    assert period.multi_term_peaks(x, 3).first().period == pytest.approx(3.0, rel=0.03)
