@@ -9,6 +9,8 @@ from .common import WORD, stage, table, unit_hash
 
 #: The hash has 60 bits; each refinement resolves ``BITS`` more of them.
 HASH_BITS, BITS = 60, 12
+#: Sources up to which the table of thresholds is broadcast; beyond, the same join shuffles.
+SMALL = 1_000_000
 
 
 def word_count(text) -> "F.Column":
@@ -80,8 +82,22 @@ def hash_thresholds(sized: DataFrame, targets: DataFrame) -> DataFrame:
     return state.select("source", "source_size", "target", "epochs", "below")
 
 
+def _thresholds(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> tuple[DataFrame, DataFrame]:
+    """The staged sizes, and the thresholds (one row per source; broadcast behind a check of their number)."""
+    sized = stage(docs.select(
+        F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"),
+        word_count(F.col(text_col)).alias("size"), unit_hash(F.col(id_col)).alias("hash")), "sizes")
+    marks = hash_thresholds(sized, source_targets(sized.groupBy("source").agg(F.sum("size").alias("source_size"))))
+    marks = marks.select(F.col("source").alias("mix_source"), "source_size", "target", "epochs", "below")
+    return sized, F.broadcast(marks) if marks.count() <= SMALL else marks
+
+
+def _copies(hash_col: str) -> "F.Column":
+    return F.col("epochs") + F.when(F.col(hash_col) < F.col("below"), F.lit(1)).otherwise(F.lit(0))
+
+
 def plan_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """``(doc_id, source, size, source_size, target, taken)``, one row per input row.
+    """``(doc_id, source, size, source_size, target, taken, copies)``, one row per input row.
 
     The texts are read once; all histograms work on a narrow staged table of sizes. A source's
     documents are never sorted or gathered: a source holding a third of all rows only adds to the
@@ -89,32 +105,22 @@ def plan_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", so
     together; a null id hashes as an empty one; null and empty texts have size 0 and take 0; a
     null source is a source of its own, the last one; an empty table gives no rows.
     """
-    sized = stage(docs.select(
-        F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"),
-        word_count(F.col(text_col)).alias("size"), unit_hash(F.col(id_col)).alias("hash")), "sizes")
-    targets = source_targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")))
-    marks = hash_thresholds(sized, targets)
-    taken = F.col("d.size") * (F.col("m.epochs") + F.when(F.col("d.hash") < F.col("m.below"), F.lit(1)).otherwise(F.lit(0)))
-    return sized.alias("d").join(marks.alias("m"), F.expr("d.source <=> m.source")).select(
-        "d.doc_id", "d.source", "d.size", "m.source_size", "m.target", taken.cast("long").alias("taken"),
-        (F.col("m.epochs") + F.when(F.col("d.hash") < F.col("m.below"), F.lit(1)).otherwise(F.lit(0))).cast("long").alias("copies"),
-        "m.epochs", "m.below")
+    sized, marks = _thresholds(docs, id_col, text_col, source_col)
+    copies = _copies("hash").cast("long")
+    return sized.join(marks, F.expr("source <=> mix_source")).select(
+        "doc_id", "source", "size", "source_size", "target", (F.col("size") * copies).alias("taken"), copies.alias("copies"))
 
 
 def mix_documents(docs: DataFrame) -> DataFrame:
     """``docs`` as often as the mix takes them (0 to 3 times), with their columns unchanged.
 
-    The verdict of a row depends on its source and its id's hash alone, so the whole table meets
-    only the thresholds, one row per source.
+    The verdict of a row depends on its source and its id's hash alone, so the texts meet
+    only the thresholds, one row per source, and are not shuffled.
     """
-    plan = plan_mix(docs)
-    marks = plan.select(F.col("source").alias("mix_source"), "epochs", "below").distinct()
-    own = F.col("epochs") + F.when(unit_hash(F.col("doc_id")) < F.col("below"), F.lit(1)).otherwise(F.lit(0))
-    names = docs.columns
-    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), F.col("source").cast("string").alias("src"), unit_hash(F.col("doc_id")).alias("h"))
-    own = F.col("epochs") + F.when(F.col("h") < F.col("below"), F.lit(1)).otherwise(F.lit(0))
-    taken = packed.join(marks, F.expr("src <=> mix_source")).select("row", own.cast("int").alias("copies"))
-    return taken.where("copies > 0").select("row", F.explode(F.sequence(F.lit(1), "copies")).alias("copy")).select("row.*")
+    _, marks = _thresholds(docs, "doc_id", "text", "source")
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("source").cast("string").alias("src"), unit_hash(F.col("doc_id")).alias("h"))
+    taken = packed.join(marks, F.expr("src <=> mix_source")).select("row", _copies("h").cast("int").alias("copies")).where("copies > 0")
+    return taken.select("row", F.explode(F.sequence(F.lit(1), "copies")).alias("copy")).select("row.*")
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
