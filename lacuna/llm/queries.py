@@ -14,7 +14,7 @@ _QUERIES = {
     "op9_simhash_dedup": ("simhash", "op9_simhash_dedup", None),
     "op7_media_columns": ("media", "op7_media_columns", None),
     "op10_packing": ("packing", "op10_packing", None),
-    "op5_pii": ("pii", "op5_pii", None),
+    "op5_pii": ("pii", "op5_pii", "oracle_pii"),
     "op8_lm_scoring": ("lm", "op8_lm_scoring", None),
     "op2_line_dedup": ("lines", "op2_line_dedup", None),
     "op3_token_counts": ("token_scan", "op3_token_counts", None),
