@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.register import register_functions
 from ..operators import classify, metrics, stats
 from ..operators import features as ft
 from ..sources import series as src
@@ -188,3 +189,11 @@ def confusion_matrix(spark, d):
     lab = src.class_label(F.col("label"), {"click": 0, "view": 1, "error": 2, "signup": 3, "purchase": 4})
     x = src.events_series(spark, d).select("event_id", lab.alias("y"))
     return classify.confusion(x.withColumn("yhat", F.when(F.col("event_id") % 4 == 0, (F.col("y") + 1) % 5).otherwise(F.col("y")).cast("int")), "y", "yhat")
+
+
+@query("sql_functions", f"WITH {o.ES}, k AS (SELECT label, flux, row_number() OVER (PARTITION BY label ORDER BY flux) - 1 AS i, count(*) OVER (PARTITION BY label) AS n FROM es) SELECT label, {q('avg(flux)')} AS trimmed FROM k WHERE i >= floor(0.05::DOUBLE * n) AND i < n - floor(0.05::DOUBLE * n) GROUP BY label")
+def sql_functions(spark, d):
+    """The registered aggregate, called from SQL."""
+    register_functions(spark)
+    src.events_series(spark, d).createOrReplaceTempView("lacuna_events")
+    return spark.sql("SELECT label, trimmed_mean(flux) AS trimmed FROM lacuna_events GROUP BY label").withColumn("trimmed", r("trimmed"))

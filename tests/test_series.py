@@ -141,3 +141,11 @@ def test_multi_term_period(sine):
     t, y, df = sine
     x = df.withColumn("flux", F.sin(2 * np.pi * F.col("t") / 3.0) ** 3)
     assert period.multi_term_peaks(x, 3).first().period == pytest.approx(3.0, rel=0.03)
+
+
+def test_registered_functions(spark):
+    from lacuna.functions.register import register_functions
+
+    assert "frequency_grid" in register_functions(spark)
+    assert spark.sql("SELECT count(*) AS n FROM frequency_grid(0.1D, 10.0D, 27.0D)").first().n == 1 + round(9.9 * 135)
+    assert spark.sql("SELECT chi2_sf(3.841458820694124D, 1) AS p").first().p == pytest.approx(0.05)
