@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 KEYS = ("series_id",)
 TWO_PI = 6.283185307179586
+#: Frequencies of a series that one task sums together.
+BLOCK = 128
 
 
 def frequency_count(baseline: Column, fmin: Column | float, fmax: Column | float, per_peak: float = 5.0) -> Column:
@@ -44,11 +46,17 @@ def lomb_scargle(df: DataFrame, grid: DataFrame, keys: Sequence[str] = KEYS, t:
     """``(*keys, k, freq, power)``; NULL power where it is undefined (constant series)."""
     g = grid.select(*keys, "fmin", "df", "nf")
     pairs = df.where(F.col(value).isNotNull()).select(*keys, F.col(t).alias("_t"), F.col(value).alias("_y")).join(g, list(keys))
-    pairs = pairs.select(*keys, "_t", "_y", "fmin", "df", F.explode(F.sequence(F.lit(0), F.col("nf") - 1)).alias("k"))
+    # dealt by series and block of frequencies before the pairs arise: the sums then need no further exchange, and a hot
+    # series is spread over its blocks
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    blocks = F.explode(F.sequence(F.lit(0), F.expr(f"CAST((nf - 1) div {BLOCK} AS INT)"))).alias("b")
+    pairs = pairs.select(*keys, "_t", "_y", "fmin", "df", "nf", blocks).repartition(n, *keys, "b")
+    first = F.col("b") * BLOCK
+    pairs = pairs.select(*keys, "_t", "_y", "fmin", "df", "b", F.explode(F.sequence(first, F.least(first + BLOCK - 1, F.col("nf") - 1))).alias("k"))
     f = F.col("fmin") + F.col("k") * F.col("df")
     x = F.lit(TWO_PI) * f * F.col("_t")
-    p = pairs.select(*keys, "k", f.alias("freq"), "_y", F.cos(x).alias("c"), F.sin(x).alias("s"))
-    a = p.groupBy(*keys, "k").agg(
+    p = pairs.select(*keys, "b", "k", f.alias("freq"), "_y", F.cos(x).alias("c"), F.sin(x).alias("s"))
+    a = p.groupBy(*keys, "b", "k").agg(
         F.min("freq").alias("freq"), F.avg("_y").alias("y"), F.avg(F.col("_y") * F.col("_y")).alias("yy"), F.avg("c").alias("c"), F.avg("s").alias("s"),
         F.avg(F.col("_y") * F.col("c")).alias("yc"), F.avg(F.col("_y") * F.col("s")).alias("ys"),
         F.avg(F.col("c") * F.col("c")).alias("cc"), F.avg(F.col("s") * F.col("s")).alias("ss"), F.avg(F.col("c") * F.col("s")).alias("cs"))

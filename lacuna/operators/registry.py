@@ -84,6 +84,12 @@ def _kernel_run(method: Method, keys: Sequence[str], order: Sequence[str], optio
     return run
 
 
+def _dealt(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The exchange a grouped kernel needs, with a fixed number of partitions: kernels cost far more than their bytes
+    suggest, so small partitions must not be merged."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def impute(df: DataFrame, key: str, params: Mapping | None = None, keys: Sequence[str] = native.KEYS, order: Sequence[str] = native.ORDER) -> DataFrame:
     """``df`` plus ``method_key, method, imputed, failed, runtime_s, memory_mb``; observed values stay as they are.
 
@@ -98,7 +104,7 @@ def impute(df: DataFrame, key: str, params: Mapping | None = None, keys: Sequenc
         return out.withColumns(tag | {"failed": F.lit(False), "runtime_s": F.lit(None).cast("double")})
     schema = df.withColumns({"imputed": F.lit(0.0), "failed": F.lit(False), "runtime_s": F.lit(0.0)}).schema
     run = _kernel_run(method, keys, order, options, "period" in df.columns)
-    return df.groupBy(*keys).applyInPandas(run, schema).withColumns(tag)
+    return _dealt(df, keys).groupBy(*keys).applyInPandas(run, schema).withColumns(tag)
 
 
 def gp_with_variance(df: DataFrame, restarts: int = 20, keys: Sequence[str] = native.KEYS, order: Sequence[str] = native.ORDER) -> DataFrame:
@@ -118,7 +124,7 @@ def gp_with_variance(df: DataFrame, restarts: int = 20, keys: Sequence[str] = na
         frame["imputed"], frame["variance"] = out, var
         return frame
 
-    return df.groupBy(*keys).applyInPandas(run, schema)
+    return _dealt(df, keys).groupBy(*keys).applyInPandas(run, schema)
 
 
 def hankel_als(df: DataFrame, rank: int = 4, reg: float = 0.01, max_iter: int = 5, value: str = "obs") -> DataFrame:
