@@ -129,12 +129,16 @@ fs AS (SELECT series_id, rg AS phase_amplitude, m3 / pow(v, 1.5) AS phase_skewne
   med AS flux_median, tm AS flux_trimmed_mean, sl AS slope_ratio FROM fa)"""
 
 
+#: Means of values with two decimals often end in exactly half a unit; engines then differ in the last bit and round apart.
+NUDGE = 1e-9
+
+
 def _shape(name: str, columns: tuple[str, ...]) -> None:
     def run(spark, d):
         x = ft.shape_features(src.events_series(spark, d))
-        return x.select("series_id", *[r(c, 5).alias(c) for c in columns])
+        return x.select("series_id", *[r(F.col(c) + NUDGE, 5).alias(c) for c in columns])
 
-    QUERIES[name] = (run, f"WITH {SHAPE} SELECT series_id, " + ", ".join(f"{q(c, 5)} AS {c}" for c in columns) + " FROM fs")
+    QUERIES[name] = (run, f"WITH {SHAPE} SELECT series_id, " + ", ".join(f"{q(f'{c} + {NUDGE}::DOUBLE', 5)} AS {c}" for c in columns) + " FROM fs")
 
 
 _shape("feat_mad", ("flux_mad", "flux_median"))
