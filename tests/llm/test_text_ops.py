@@ -168,6 +168,13 @@ def test_line_dedup_against_brute_force(spark, docs, empty):
     assert lines.dedup_lines(empty).count() == 0
 
 
+def test_lines_that_differ_in_numbers_stay_and_repeated_rows_go(spark):
+    texts = ["Invoice 17 total 340 EUR", "Invoice 92 total 8 EUR", "12 | 34.5 | 6", "98 | 76.5 | 4", "* * *", "12 | 34.5 | 6\n* * *\nlast", "क\u093f", "क\u0941"]
+    frame = spark.createDataFrame([(i, t, "", "", 0) for i, t in enumerate(texts)], SCHEMA)
+    assert {r.doc_key: list(r.dropped) for r in lines.dropped_lines(frame).collect()} == {5: [0, 1]}
+    assert {r.doc_id: r.text for r in lines.dedup_lines(frame).collect()} == dict(enumerate(texts)) | {5: "last"}
+
+
 SCHEMA_COLUMNS = [x.split()[0] for x in SCHEMA.split(", ")]
 
 
