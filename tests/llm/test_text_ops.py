@@ -175,6 +175,13 @@ def test_lines_that_differ_in_numbers_stay_and_repeated_rows_go(spark):
     assert {r.doc_id: r.text for r in lines.dedup_lines(frame).collect()} == dict(enumerate(texts)) | {5: "last"}
 
 
+def test_rows_of_one_or_no_id_lose_their_own_lines_only(spark):
+    a, b, c, d = (prose(i, 12) for i in (501, 502, 503, 504))
+    rows = [(None, f"{a}\n{b}", "", "", 0), (None, f"{c}\n{a}", "", "", 0), (7, d, "", "", 0), (7, f"{d}\nfin", "", "", 0), (7, "alone", "", "", 0)]
+    frame = spark.createDataFrame(rows, SCHEMA).coalesce(1)
+    assert Counter((r.doc_id, r.text) for r in lines.dedup_lines(frame).collect()) == Counter([(None, f"{a}\n{b}"), (None, c), (7, d), (7, "fin"), (7, "alone")])
+
+
 SCHEMA_COLUMNS = [x.split()[0] for x in SCHEMA.split(", ")]
 
 
