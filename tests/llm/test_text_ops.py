@@ -185,6 +185,41 @@ def test_rows_of_one_or_no_id_lose_their_own_lines_only(spark):
 SCHEMA_COLUMNS = [x.split()[0] for x in SCHEMA.split(", ")]
 
 
+def edited(rng, line, rate, words):
+    """``line`` with some words or characters replaced, dropped or put in, at places of their own."""
+    units = line.split(" ") if words else list(line)
+    for at in sorted(rng.choice(len(units), max(1, round(rate * len(units))), replace=False), reverse=True):
+        new = WORDS[rng.integers(300)][::-1] if words else "abcdefghij"[rng.integers(10)]
+        units[at:at + 1] = [[new], [], [units[at], new]][rng.choice(3, p=[0.6, 0.2, 0.2])]
+    return (" " if words else "").join(units)
+
+
+def distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return row[-1]
+
+
+def test_recall_against_edit_similarity_alone(spark):
+    rng = np.random.default_rng(5)
+    pairs = []
+    for n in (5, 10, 20, 50):
+        for rate, words in ((0.05, True), (0.1, True), (0.18, True), (0.02, False), (0.04, False)):
+            for _ in range(12):
+                a = prose(int(rng.integers(1 << 30)), n)
+                b = edited(rng, a, rate, words)
+                if a != b and distance(a, b) <= math.floor(0.2 * max(len(a), len(b)) + 1e-9):
+                    pairs.append((n, rate, words, a, b))
+    frame = spark.createDataFrame([(2 * i + k, p[3 + k], "", "", 0) for i, p in enumerate(pairs) for k in (0, 1)], SCHEMA)
+    gone = {r.doc_key for r in lines.dropped_lines(frame).collect()}
+    found = {kind: np.mean([2 * i + 1 in gone for i, p in enumerate(pairs) if p[1:3] == kind]) for kind in sorted({p[1:3] for p in pairs})}
+    print(len(pairs), found)
+    assert not any(d % 2 == 0 for d in gone) and all(x >= 0.9 for x in found.values()), found
+
+
 def test_long_lines_are_counted_in_pieces(spark):
     words = " ".join(f"{a}{b}{c}" for a in WORDS[:60] for b in "abcdefg" for c in "mnopqr")
     frame = spark.createDataFrame([(1, words, "", "", 0)], SCHEMA)
