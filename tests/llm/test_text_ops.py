@@ -295,6 +295,12 @@ def test_pii_spans_terms_and_sanitising(spark, docs, empty):
     assert pii.with_terms(empty, pii.detect(empty)).count() == 0
 
 
+def test_sanitising_rows_without_or_with_repeated_ids(spark):
+    rows = [(None, "mail a.b@c.example or", "", "", 0), (None, "no data", "", "", 0), (7, "x +1 (555) 123-4567", "", "", 0), (7, "at 10.0.0.255 now, d@e.example", "", "", 0), (7, None, "", "", 0)]
+    got = pii.sanitise(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert Counter((r.doc_id, r.text) for r in got) == Counter([(None, "mail <EMAIL> or"), (None, "no data"), (7, "x <PHONE>"), (7, "at <IP> now, <EMAIL>"), (7, None)])
+
+
 # ------------------------------------------------------------------ LM
 def test_lm_base_scores_and_held_out_gain(docs, empty):
     rows = fixture_rows()
