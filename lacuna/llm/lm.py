@@ -23,7 +23,7 @@ from .common import stage, table
 #: Bytes of text of a chunk, and of the text whose n-grams meet in one hash range; the least number of ranges.
 CHUNK, RANGE, MIN_RANGES = 6 << 20, 12 << 20, 64
 HELD_OUT, FOLD, MODULUS = 2, 3, 7
-#: The histogram for expectation-maximisation: log2 of a component over the uniform one, in steps.
+#: The histogram for expectation-maximisation: log2 of a component from 1 downward, in steps of at least so much.
 STEP, LEVELS = 0.25, 128
 #: Buckets of context frequency: log2 of the count, the last open.
 BUCKETS = 24
@@ -226,10 +226,15 @@ def _with_start(ctx: np.ndarray, lengths: np.ndarray, starts: int) -> np.ndarray
     return ctx
 
 
-def _level(p: np.ndarray, p0: float) -> np.ndarray:
-    """0 for probability zero, else the rounded log ratio to the uniform component, shifted to be positive."""
+def _step(n: int) -> float:
+    """The step with which the levels reach from 1 down to 1 / n, the least probability of a word that ``n`` tokens hold."""
+    return max(STEP, float(np.log2(max(n, 2))) / (LEVELS - 2))
+
+
+def _level(p: np.ndarray, step: float) -> np.ndarray:
+    """0 for probability zero, else the rounded log, shifted so that probability 1 has the last level."""
     with np.errstate(divide="ignore"):
-        q = np.rint(np.log2(p / p0) / STEP) + LEVELS // 2
+        q = np.rint(np.log2(p) / step) + LEVELS - 1
     return np.where(p > 0, np.clip(q, 1, LEVELS - 1), 0).astype(np.int64)
 
 
@@ -241,6 +246,7 @@ def learn_weights(joined: DataFrame, stats: dict, rounds: int = 60) -> np.ndarra
     BUCKETS * LEVELS**2 cells reach the driver, however large the input.
     """
     n, v, starts = stats["n"] - stats["fold_n"], stats["rest_v"], stats["starts"] - stats["fold_starts"]
+    step = _step(max(n, starts))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -253,22 +259,22 @@ def learn_weights(joined: DataFrame, stats: dict, rounds: int = 60) -> np.ndarra
                 c1, c2, ctx = (unpack(x[a], np.uint64)[heart] - unpack(x[b], np.uint64) for a, b in (("c1", "f1"), ("c2", "f2"), ("ctx", "fctx")))
                 ctx = _with_start(ctx, own, starts)
                 p = _components(c1.astype(float), c2.astype(float), ctx, n, v)
-                cell = (_bucket(ctx) * LEVELS + _level(p[1], p[0, 0])) * LEVELS + _level(p[2], p[0, 0])
+                cell = (_bucket(ctx) * LEVELS + _level(p[1], step)) * LEVELS + _level(p[2], step)
                 cells, times = np.unique(cell, return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(cells), pa.array(times.astype(np.int64))], names=["cell", "n"])
 
     hist = joined.select("lengths", "part", "c1", "c2", "ctx", "f1", "f2", "fctx").mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
-    return em(hist, rounds)
+    return em(hist, 1 / (v + 1), step, rounds)
 
 
-def em(hist: pd.DataFrame, rounds: int = 60) -> np.ndarray:
+def em(hist: pd.DataFrame, uniform: float, step: float, rounds: int = 60) -> np.ndarray:
     cell, n = hist["cell"].to_numpy(dtype=np.int64), hist["n"].to_numpy(dtype=np.float64)
     bucket, levels = cell // (LEVELS * LEVELS), np.stack([cell // LEVELS % LEVELS, cell % LEVELS])
-    ratio = np.vstack([np.ones(len(cell)), np.where(levels > 0, 2.0 ** ((levels - LEVELS // 2) * STEP), 0.0)])
+    p = np.vstack([np.full(len(cell), uniform), np.where(levels > 0, 2.0 ** ((levels - LEVELS + 1) * step), 0.0)])
     weights = np.tile([0.1, 0.4, 0.5], (BUCKETS, 1))
     weights[0] = [0.2, 0.8, 0.0]  # an unseen context has no bigram estimate
     for _ in range(rounds):
-        share = weights[bucket].T * ratio
+        share = weights[bucket].T * p
         share *= n / np.maximum(share.sum(axis=0), 1e-300)
         sums = np.stack([np.bincount(bucket, s, BUCKETS) for s in share], axis=1)
         seen = sums.sum(axis=1) > 0

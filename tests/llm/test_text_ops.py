@@ -317,6 +317,21 @@ def test_lm_base_scores_and_held_out_gain(docs, empty):
     assert lm.score_documents(empty).count() == 0
 
 
+def test_weights_do_not_drift_with_the_vocabulary():
+    for n in (1000, 10**6, 5 * 10**9, 10**12):
+        step = lm._step(n)
+        p = np.array([1.0, 0.5, 0.055, 0.003, 1e-3, 1 / n])
+        assert np.abs(np.log2(p) - (lm._level(p, step) - lm.LEVELS + 1) * step).max() <= step / 2 + 1e-9
+    # half of the tokens after a sure bigram, half after none: the bigram's weight is about the sure half's share
+    weights = []
+    for v in (1000, 20 * 10**6):
+        step = lm._step(10**8)
+        level = lambda p: int(lm._level(np.array([p]), step)[0])
+        cells = [(5 * lm.LEVELS + level(0.01)) * lm.LEVELS + level(p) for p in (1.0, 0.0)]
+        weights.append(lm.em(lm.pd.DataFrame({"cell": cells, "n": [50, 50]}), 1 / (v + 1), step)[5, 2])
+    assert weights[0] == pytest.approx(weights[1], abs=0.01) and 0.45 < weights[0] < 0.5
+
+
 def test_mixture_is_a_distribution():
     n, v = 100, 9
     counts = np.array([40, 20, 15, 10, 5, 4, 3, 2, 1])
