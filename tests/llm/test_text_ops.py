@@ -332,6 +332,28 @@ def test_weights_do_not_drift_with_the_vocabulary():
     assert weights[0] == pytest.approx(weights[1], abs=0.01) and 0.45 < weights[0] < 0.5
 
 
+def test_scores_against_plain_counts_and_held_out_gain(spark, monkeypatch):
+    w = np.tile([0.1, 0.3, 0.6], (lm.BUCKETS, 1)) * np.linspace(1, 0.9, lm.BUCKETS)[:, None]
+    chain = [" ".join(WORDS[(7 * i + k * (1 + i % 3)) % 300] for k in range(60)) for i in range(60)]
+    frame = spark.createDataFrame([(i, t, "", "", 0) for i, t in enumerate(chain)], SCHEMA)
+    learned = lm.score_documents(frame).where("held_out").agg(F.count("*"), F.sum("score"), F.sum("base_score")).first()
+    assert learned[0] > 3 and learned[1] > learned[2] + 0.2 * 61 * learned[0]  # a fifth of a decimal digit a token
+    monkeypatch.setattr(lm, "learn_weights", lambda joined, stats: w)
+    tokens = [[*t.encode().split(), lm.END] for t in chain]
+    train = [t for i, t in enumerate(tokens) if lm.remainder(i) != lm.HELD_OUT]
+    one, two, ctx = Counter(x for t in train for x in t), Counter(), Counter({lm.START: len(train)})
+    for t in train:
+        two.update(zip([lm.START, *t[:-1]], t))
+        ctx.update(t[:-1])
+    n, v = sum(one.values()), len(one)
+    for r in lm.score_documents(frame).collect():
+        want = 0.0
+        for a, b in zip([lm.START, *tokens[r.doc_id][:-1]], tokens[r.doc_id]):
+            u = w[min(1 + int(math.log2(ctx[a])), lm.BUCKETS - 1) if ctx[a] else 0]
+            want += math.log10(u[0] / (v + 1) + u[1] * one[b] / n + (u[2] * two[a, b] / ctx[a] if ctx[a] else 0))
+        assert r.score == pytest.approx(want)
+
+
 def test_mixture_is_a_distribution():
     n, v = 100, 9
     counts = np.array([40, 20, 15, 10, 5, 4, 3, 2, 1])
