@@ -111,7 +111,7 @@ def test_components_of_chains_and_hubs(spark):
 
 # ------------------------------------------------------------------ line dedup
 def brute_lines(rows):
-    norm = lambda x: re.sub(r"[\W_\d]+", " ", x.lower()).strip()
+    norm = lambda x: re.sub(r"[\W_]+", " ", x.lower()).strip()
     occ = {}
     for d, text in sorted({(r[0] if r[0] is not None else -(1 << 63), r[1]) for r in rows if r[1] is not None}):
         for i, x in enumerate(text.split("\n")):
@@ -119,11 +119,7 @@ def brute_lines(rows):
                 occ.setdefault(norm(x), set()).add((d, i))
     names = list(occ)
 
-    def sim(x):
-        h = [xxhash.xxh64_intdigest(w.encode(), 42) for w in set(x.split(" "))]
-        return sum(1 << b for b in range(lines.BITS) if 2 * sum(v >> b & 1 for v in h) > len(h))
-
-    sims, group = [sim(x) for x in names], list(range(len(names)))
+    group = list(range(len(names)))
 
     def close(a, b):
         limit = math.floor(0.2 * max(len(a), len(b)) + 1e-9)
@@ -142,7 +138,7 @@ def brute_lines(rows):
 
     for i in range(len(names)):
         for j in range(i):
-            if (sims[i] ^ sims[j]).bit_count() <= 3 and close(names[i], names[j]):
+            if close(names[i], names[j]):
                 a, b = group[i], group[j]
                 group = [b if g == a else g for g in group]
     keep = {g: min(min(occ[names[i]]) for i in range(len(names)) if group[i] == g) for g in set(group)}
@@ -222,11 +218,29 @@ def test_recall_against_edit_similarity_alone(spark):
 
 def test_long_lines_are_counted_in_pieces(spark):
     words = " ".join(f"{a}{b}{c}" for a in WORDS[:60] for b in "abcdefg" for c in "mnopqr")
-    frame = spark.createDataFrame([(1, words, "", "", 0)], SCHEMA)
+    frame = spark.createDataFrame([(1, words)], "node long, norm string")
     h = [xxhash.xxh64_intdigest(w.encode(), 42) for w in words.split()]
     assert len(set(words.split())) == len(h) > 2 * lines.PIECE
     want = sum(1 << b for b in range(lines.BITS) if 2 * sum(v >> b & 1 for v in h) > len(h))
-    assert lines.simhashes(lines.explode_lines(frame)).first().sim == want
+    assert lines.simhashes(frame).first().sim == want
+
+
+def test_variants_of_one_line_and_very_long_lines(spark):
+    """Eleven variants of a line of eleven words, a word replaced in each; two lines of 40,000 characters with an edit; a text of 3,000 lines."""
+    stem = [f"{w}{i}" for i, w in enumerate(prose(7, 11).split())]
+    rows = [(i, " ".join([*stem[:i], "other", *stem[i + 1:]]), "", "", 0) for i in range(11)]
+    long = prose(8, 8000).split()
+    rows += [(20, " ".join(long), "", "", 0), (21, " ".join([*long[:900], "new", *long[901:]]), "", "", 0)]
+    rows += [(30, "\n".join(f"{i} {i * i}" for i in range(40000)) + "\n0 0", "", "", 0)]
+    gone = {r.doc_key: list(r.dropped) for r in lines.dropped_lines(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert set(gone) - {30} == {*range(1, 11), 21} and 3000 in gone[30] and 0 not in gone[30]
+
+
+def test_kept_text_is_linear_and_exact(spark):
+    cases = [("a\nb\nc", [0]), ("a\nb\nc", [1]), ("a\nb\nc", [2]), ("a\nb\nc", [0, 1, 2]), ("\na\n\nb\n", [1, 3]), ("a", None), (None, None), ("\n".join(map(str, range(200000))), list(range(0, 200000, 2)))]
+    frame = spark.createDataFrame(cases, "text string, dropped array<int>")
+    got = [r.x for r in frame.select(lines.kept_text(F.col("text"), F.col("dropped")).alias("x")).collect()]
+    assert got == [t if d is None else "\n".join(x for i, x in enumerate(t.split("\n")) if i not in set(d)) for t, d in cases]
 
 
 def test_rotations_keep_all_bits(spark):
