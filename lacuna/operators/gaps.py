@@ -21,11 +21,12 @@ def hash_mask(df: DataFrame, fractions: Sequence[float] = (0.1, 0.3, 0.5), id_co
     """
     permille = F.explode(F.array(*[F.lit(round(1000 * p)) for p in fractions]))
     x = df
-    source = F.col(id_col).cast("long")
+    narrow = lambda c: F.pmod(F.col(c).cast("long"), F.lit(1000))  # noqa: E731 - same remainder of the product, without overflow
+    source = narrow(id_col)
     if block:
         w = Window.partitionBy(*keys).orderBy(*order)
         x = x.withColumn("_b", F.floor((F.row_number().over(w) - 1) / F.lit(block)).cast("long"))
-        source = F.col("_b") * 7919 + F.col(keys[0]).cast("long")
+        source = narrow("_b") * 7919 + narrow(keys[0])
     x = x.withColumn("_m", permille)
     missing = F.pmod(source * F.lit(HASH_MULTIPLIER), F.lit(1000)) < F.col("_m")
     return x.select(

@@ -394,7 +394,8 @@ def gain_impute(t, y, gone, period, rng, hint_rate: float = 0.1, lambda_recon: f
     og, od = Adam(P, lr), Adam(Q, lr)
     for _ in range(epochs):
         inp = m * x + (1 - m) * rng.uniform(0, 0.01, n)
-        hint = m * (rng.random(n) < hint_rate) + 0.5 * (rng.random(n) >= hint_rate)
+        hidden = rng.random(n) < hint_rate
+        hint = np.where(hidden, 0.5, m)
         a, fake = _mlp(inp, P, "g")
         d_in = np.r_[m * x + (1 - m) * fake, hint]
         b, prob = _mlp(d_in, Q, "d")

@@ -91,7 +91,7 @@ def truncate(df: DataFrame, n: int, strategy: str = "first", compat: bool = Fals
 
 
 def _hash_order(id_col: str) -> list[Column]:
-    return [F.pmod(F.col(id_col).cast("long") * F.lit(2654435761), F.lit(1000003)), F.col(id_col)]
+    return [F.pmod(F.pmod(F.col(id_col).cast("long"), F.lit(1000003)) * F.lit(2654435761 % 1000003), F.lit(1000003)), F.col(id_col)]
 
 
 def sample_per_class(df: DataFrame, k: int, label: str = "label", id_col: str = "event_id") -> DataFrame:

@@ -8,7 +8,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import impute as native
@@ -127,15 +127,26 @@ def gp_with_variance(df: DataFrame, restarts: int = 20, keys: Sequence[str] = na
     return _dealt(df, keys).groupBy(*keys).applyInPandas(run, schema)
 
 
+def _ranges(h: DataFrame, buckets: int = 4096) -> DataFrame:
+    """``(series_id, start)``: where each series' numbers begin. Sums within hash buckets of series, then over the buckets:
+    the one-task window sees a row a bucket, and so does the broadcast."""
+    sizes = h.groupBy("series_id").agg((F.greatest(F.max("j"), F.max("k")) + 1).cast("long").alias("n")).withColumn("bucket", F.pmod(F.xxhash64("series_id"), F.lit(buckets)))
+    ahead = lambda w: F.sum("n").over(w) - F.col("n")
+    before = sizes.groupBy("bucket").agg(F.sum("n").alias("n")).select("bucket", ahead(Window.orderBy("bucket")).alias("before"))
+    within = sizes.select("series_id", "bucket", ahead(Window.partitionBy("bucket").orderBy("series_id")).alias("within"))
+    return within.join(F.broadcast(before), "bucket").select("series_id", (F.col("before") + F.col("within")).alias("start"))
+
+
 def hankel_als(df: DataFrame, rank: int = 4, reg: float = 0.01, max_iter: int = 5, value: str = "obs") -> DataFrame:
     """``(series_id, idx, value)``: the Hankel matrix of all series factorised together by ``pyspark.ml`` ALS, its rows and
     columns numbered apart per series, then averaged along anti-diagonals. For series too long for one kernel.
 
-    Row numbers must fit an int: series_id times 2**16 plus the row.
+    ALS numbers are ints, so each series has a range of its own, one after another whatever its id; rows of
+    all series beyond 2**31 raise an overflow. A null series_id has no range and goes.
     """
     from pyspark.ml.recommendation import ALS
 
     h = native.hankel_embed(df, ("series_id",), value=value)
-    cells = h.select("series_id", "j", "k", "value", (F.col("series_id") * 65536 + F.col("j")).cast("int").alias("u"), (F.col("series_id") * 65536 + F.col("k")).cast("int").alias("v"))
+    cells = h.join(_ranges(h), "series_id").select("series_id", "j", "k", "value", (F.col("start") + F.col("j")).cast("int").alias("u"), (F.col("start") + F.col("k")).cast("int").alias("v"))
     model = ALS(rank=rank, regParam=reg, maxIter=max_iter, userCol="u", itemCol="v", ratingCol="value", seed=0).fit(cells.where("value IS NOT NULL").withColumn("value", F.col("value").cast("float")))
     return native.hankel_deembed(model.transform(cells.drop("value")).select("series_id", "j", "k", F.col("prediction").cast("double").alias("value")))

@@ -297,7 +297,7 @@ def lag_phase_matrix(spark, d):
 
 
 HANKEL = o.ES + """,
-hi AS (SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY t, event_id) - 1 AS i, count(*) OVER (PARTITION BY series_id) AS n FROM es WHERE series_id < 1000000),
+hi AS (SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY t, event_id) - 1 AS i, count(*) OVER (PARTITION BY series_id) AS n FROM es),
 hk AS (SELECT a.series_id, j, a.i - j AS k, a.flux AS value FROM hi a, unnest(range(0, a.n // 2)) AS u(j) WHERE a.i - j >= 0 AND a.i - j <= a.n - a.n // 2)"""
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..operators import gaps, impute, metrics, stats
 from ..operators import registry
+from ..operators.period import period_estimate
 from ..sources.config import make_seed_sequence
 from ..sources.sinks import save_parquet, save_results, save_table
 
@@ -33,14 +34,18 @@ def native_results(gapped: DataFrame) -> DataFrame:
 def run_grid(series: DataFrame, methods: Mapping[str, Mapping] | Sequence[str], fractions: Sequence[float] = FRACTIONS, n_seeds: int = 3, base_seed: int = 42, variant: str = "index", **gap_options) -> DataFrame:
     """Gaps once per (series, fraction, seed), then every method on the same gaps: ``(method_key, method, ..., imputed, failed)``.
 
-    ``series``: series_id, t, flux. The gapped frame sits below the methods, so its exchange is reused.
+    ``series``: series_id, t, flux. Kernels get the period estimated from the observed samples of each gapped series. The gapped frame sits below the methods, so its exchange is reused.
     """
     params = methods if isinstance(methods, Mapping) else {m: {} for m in methods}
     x = gaps.inject_gaps(series.select("series_id", "t", "flux"), fractions, make_seed_sequence(n_seeds, base_seed), variant, **gap_options)
     keys, order = ("series_id", "fraction", "seed"), ("t",)
+    kernels = x
+    if any(not registry.get_imputer(key).plan for key in params):  # the others take no period
+        periods = period_estimate(x, keys)
+        kernels = x.join(periods, list(keys), "left").withColumn("period", F.coalesce("period", F.lit(1.0)))
     out = None
     for key, options in params.items():
-        one = registry.impute(x, key, options, keys, order)
+        one = registry.impute(x if registry.get_imputer(key).plan else kernels, key, options, keys, order).drop("period")
         out = one if out is None else out.unionByName(one)
     return out
 

@@ -44,15 +44,17 @@ def load_light_curve(spark: SparkSession, path: str, columns: tuple[str, ...] |
 def load_dataset(spark: SparkSession, folder: str, window: int = 4000, label_columns: tuple[str, ...] = ("label", "class_label")) -> DataFrame:
     """All light curves of a folder, ``series_id`` from the file's stem, the first ``window`` rows each by time.
 
-    Files lacking time, flux or a label contribute nothing: with a merged schema their columns are null.
+    Files lacking time, flux or a label contribute nothing: with a merged schema their columns are null (so a file
+    whose flux is null throughout counts as lacking it). Files of one stem in several folders are cut apart, but share their ``series_id``.
     """
     df = spark.read.option("mergeSchema", "true").option("recursiveFileLookup", "true").parquet(folder)
     labels = [F.col(c) for c in label_columns if c in df.columns]
     if not labels or not {"time", "flux"} <= set(df.columns):
         return df.sparkSession.createDataFrame([], "series_id string, time double, flux double, label int")
     stem = F.regexp_extract(F.col("_metadata.file_name"), r"^(.*?)(?:\.parquet)?$", 1)
-    rows = df.select(stem.alias("series_id"), "time", "flux", F.coalesce(*labels).cast("int").alias("label")).where("time IS NOT NULL AND label IS NOT NULL")
-    return truncate_rows(rows, window, ("series_id",), ("time",))
+    rows = df.select(F.col("_metadata.file_path").alias("_file"), stem.alias("series_id"), "time", "flux", F.coalesce(*labels).cast("int").alias("label"))
+    rows = rows.withColumn("_seen", F.count("flux").over(Window.partitionBy("_file"))).where("_seen > 0 AND time IS NOT NULL AND label IS NOT NULL")
+    return truncate_rows(rows.drop("_seen"), window, ("_file",), ("time",)).drop("_file")
 
 
 def truncate_rows(df: DataFrame, n: int, keys: tuple[str, ...], order: tuple[str, ...]) -> DataFrame:

@@ -95,3 +95,19 @@ def test_config_and_seeds():
     with pytest.raises(KeyError):
         registry.get_imputer("nope")
     assert len(registry.list_imputers()) == 13
+
+
+def test_adversarial_hint_is_the_mask_or_a_half(monkeypatch):
+    hints = []
+    whole = kernels._mlp
+
+    def spy(x, P, name):
+        if name == "d":
+            hints.append(x[len(x) // 2:])
+        return whole(x, P, name)
+
+    monkeypatch.setattr(kernels, "_mlp", spy)
+    y, gone = gapped()
+    kernels.gain_impute(T, y, gone, 1.0, np.random.default_rng(0), epochs=3)
+    assert hints and all(set(np.unique(h)) <= {0.0, 0.5, 1.0} for h in hints)
+    assert all(np.isin(h, (0.5,)).sum() < len(h) / 2 and (h[gone] != 1).all() and (h[~gone] != 0).all() for h in hints)

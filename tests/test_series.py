@@ -149,3 +149,43 @@ def test_registered_functions(spark):
     assert "frequency_grid" in register_functions(spark)
     assert spark.sql("SELECT count(*) AS n FROM frequency_grid(0.1D, 10.0D, 27.0D)").first().n == 1 + round(9.9 * 135)
     assert spark.sql("SELECT chi2_sf(3.841458820694124D, 1) AS p").first().p == pytest.approx(0.05)
+
+
+def test_masks_and_splits_of_large_ids(spark):
+    ids = [4_000_000_000, 2**62, -(2**62), 17]
+    df = spark.createDataFrame([(i, i, float(k), 1.0, "a") for k, i in enumerate(ids)], "series_id long, event_id long, t double, flux double, label string")
+    got = {r.event_id: r.is_missing for r in gaps.hash_mask(df, (0.5,)).collect()}
+    assert got == {i: i * 2654435761 % 1000 < 500 for i in ids}
+    blocks = {r.event_id: r.is_missing for r in gaps.hash_mask(df, (0.5,), block=2).collect()}
+    assert blocks == {i: (i % 1000) * 2654435761 % 1000 < 500 for i in ids}
+    first = prep.sample_per_class(df, 1).first().event_id
+    assert first == min(ids, key=lambda i: (i * 2654435761 % 1000003, i))
+
+
+def test_hankel_ranges_of_any_id(spark):
+    ids = [40_000, 40_001, 2**40, -5]
+    df = spark.createDataFrame([(s, i, float(i), None if i == 3 else float(i % 3)) for s in ids for i in range(12)], "series_id long, event_id long, t double, obs double")
+    out = registry.hankel_als(df).collect()
+    assert sorted((r.series_id, r.idx) for r in out) == sorted((s, i) for s in ids for i in range(12))
+    r = registry._ranges(spark.createDataFrame([(s, j, j) for s in ids for j in range(5)], "series_id long, j long, k long"), 2).collect()
+    assert sorted(x.start for x in r) == [0, 5, 10, 15]
+
+
+def test_grid_hands_the_period_to_kernels(spark, monkeypatch):
+    x = signal.generate_series(spark, N=200, dt=0.1, seeds=(1,), sigma_eps=0.0).select("series_id", "t", "flux")
+    seen = experiment.period_estimate
+    monkeypatch.setattr(experiment, "period_estimate", lambda df, keys: seen(df, keys).withColumn("period", F.lit(-7.0)))
+    monkeypatch.setitem(registry.REGISTRY, "spline_interp", registry.Method("spline_interp", "S", kernel=_period_fill))
+    out = experiment.run_grid(x, ("mean_fill", "spline_interp"), (0.2,), 1, shortest=2, longest=4).where("is_missing AND method = 'S'")
+    assert {r.imputed for r in out.select("imputed").distinct().collect()} == {-7.0}
+
+
+def _period_fill(t, y, gone, period, rng):
+    return np.where(gone, period, y)
+
+
+def test_load_dataset_skips_files_without_flux(spark, tmp_path):
+    spark.range(5).selectExpr("CAST(id AS DOUBLE) AS time", "1.0D AS flux", "1 AS label").coalesce(1).write.parquet(str(tmp_path / "d" / "a"))
+    spark.range(5).selectExpr("CAST(id AS DOUBLE) AS time", "1 AS label").coalesce(1).write.parquet(str(tmp_path / "d" / "b"))
+    rows = series.load_dataset(spark, str(tmp_path / "d"), window=3).collect()
+    assert len(rows) == 3 and all(r.flux == 1 for r in rows)
