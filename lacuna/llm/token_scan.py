@@ -30,8 +30,9 @@ def write_token_files(docs: DataFrame, folder: str, separator: int = SEPARATOR,
     """Writes one flat file a partition into ``folder`` (a URI of shared storage): each whole text's ids, then ``separator``.
 
     Returns the staged manifest ``(file, ordinal, doc_id)``; the files themselves hold no index. A rerun task
-    writes the same bytes to the same name, by way of a name of its own attempt.
+    writes the same bytes to the same name, by way of a name of its own attempt. An id that ``dtype`` can't hold raises a ValueError.
     """
+    most = np.iinfo(dtype).max
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         context = TaskContext.get()
@@ -43,7 +44,10 @@ def write_token_files(docs: DataFrame, folder: str, separator: int = SEPARATOR,
         with system.open_output_stream(own) as out:
             for batch in batches:
                 for text in batch.column(1).to_pylist():
-                    out.write(np.append(token_ids(text or "", path, plain=True), np.uint32(separator)).astype(dtype).tobytes())
+                    ids = np.append(token_ids(text or "", path, plain=True), np.uint32(separator))
+                    if ids.max() > most:
+                        raise ValueError(f"id {ids.max()} doesn't fit {dtype}: give a wider dtype")
+                    out.write(ids.astype(dtype).tobytes())
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([name] * batch.num_rows), pa.array(np.arange(n, n + batch.num_rows)), batch.column(0)], names=["file", "ordinal", "doc_id"])
                 n += batch.num_rows

@@ -133,6 +133,13 @@ def test_token_scan_stitches_blocks(spark, docs, tmp_path):
     assert token_scan.token_counts(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
+def test_ids_wider_than_the_files_are_refused(spark, docs, tmp_path):
+    with pytest.raises(Exception, match="doesn't fit <u1"):
+        token_scan.write_token_files(docs, f"file://{tmp_path}", separator=255, dtype="<u1").count()
+    wide = token_scan.write_token_files(docs, f"file://{tmp_path}/wide", dtype="<u4")
+    assert wide.count() == docs.count()
+
+
 def test_pipeline_stages(spark, docs):
     stages = dict(corpus_pipeline.STAGES)
     before = docs
