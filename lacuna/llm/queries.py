@@ -19,6 +19,8 @@ _QUERIES = {
     "op2_line_dedup": ("lines", "op2_line_dedup", None),
     "op3_token_counts": ("token_scan", "op3_token_counts", None),
     "op6_chat_rotation": ("chat", "op6_chat_rotation", "oracle_chat_rotation"),
+    "op11_whitening": ("whitening", "op11_whitening", None),
+    "op12_toxicity": ("toxicity", "op12_toxicity", None),
 }
 
 
