@@ -15,9 +15,11 @@ KEYS, ORDER = ("series_id", "fraction"), ("t", "event_id")
 
 
 def _windows(keys: Sequence[str], order: Sequence[str]):
+    """The series' order; up to a row; from a row on, as the same frame in reverse order (a frame that ends at the last row costs the square of a series' length); the whole series."""
     w = Window.partitionBy(*keys).orderBy(*order)
+    back = Window.partitionBy(*keys).orderBy(*[F.col(c).desc() for c in order])
     lo, hi, now = Window.unboundedPreceding, Window.unboundedFollowing, Window.currentRow
-    return w, w.rowsBetween(lo, now), w.rowsBetween(now, hi), w.rowsBetween(lo, hi)
+    return w, w.rowsBetween(lo, now), back.rowsBetween(lo, now), w.rowsBetween(lo, hi)
 
 
 def mean_fill(df: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
@@ -28,7 +30,7 @@ def forward_fill(df: DataFrame, backfill: bool = True, keys: Sequence[str] = KEY
     """Last observation carried forward; leading gaps take the first observation, or stay NULL without ``backfill``."""
     _, past, ahead, _ = _windows(keys, order)
     last = F.last("obs", ignorenulls=True).over(past)
-    return df.withColumn("imputed", F.coalesce(last, F.first("obs", ignorenulls=True).over(ahead)) if backfill else last)
+    return df.withColumn("imputed", F.coalesce(last, F.last("obs", ignorenulls=True).over(ahead)) if backfill else last)
 
 
 def _between(x: Column, a: Column, b: Column) -> Column:
@@ -48,7 +50,7 @@ def linear(df: DataFrame, ends: str = "extrapolate", by: str = "t", keys: Sequen
     d = df.withColumn("_x", x)
     point = F.when(F.col("obs").isNotNull(), F.struct(F.col("_x").alias("x"), F.col("obs").alias("f")))
     d = d.withColumn("_p", point)
-    d = d.withColumn("_a", F.last("_p", ignorenulls=True).over(past)).withColumn("_b", F.first("_p", ignorenulls=True).over(ahead))
+    d = d.withColumn("_a", F.last("_p", ignorenulls=True).over(past)).withColumn("_b", F.last("_p", ignorenulls=True).over(ahead))
     mid = _between(F.col("_x"), F.col("_a"), F.col("_b"))
     if ends == "clamp":
         low, high = F.col("_b")["f"], F.col("_a")["f"]

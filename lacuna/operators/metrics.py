@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..schema import METRICS
 from . import period as per
+from .order import joined, quantiles, ranked_values
 
 EPS = 1e-8
 
@@ -115,10 +116,12 @@ def two_level(raw: DataFrame, metric: str, by: Sequence[str] = ("method", "fract
     return per_seed.groupBy(*by).agg(F.avg("_m").alias(f"{metric}_mean"), F.stddev_pop("_m").alias(f"{metric}_std"))
 
 
-def describe(df: DataFrame, value: str = "flux", by: Sequence[str] = ()) -> DataFrame:
-    return df.groupBy(*by).agg(
-        F.count(value).alias("n"), F.avg(value).alias("mean"), F.expr(f"percentile({value}, 0.5)").alias("median"), F.stddev_samp(value).alias("std"),
-        F.min(value).alias("min"), F.max(value).alias("max"))
+def describe(df: DataFrame, value: str = "flux", by: Sequence[str] = (), **options) -> DataFrame:
+    """Count, mean, median, deviation and range; groups without a value have nulls."""
+    plain = df.groupBy(*by).agg(F.count(value).alias("n"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("std"), F.min(value).alias("min"), F.max(value).alias("max"))
+    middle = quantiles(df, value, (0.5,), by, **options).select(*by, F.col("q")[0].alias("median"))
+    out = joined(plain, middle, by, "left") if by else plain.join(middle, how="left")
+    return out.select(*by, "n", "mean", "median", "std", "min", "max")
 
 
 def correlation(df: DataFrame, a: str, b: str, by: Sequence[str] = ()) -> DataFrame:
@@ -146,15 +149,17 @@ def histogram(df: DataFrame, value: str, lo: float, hi: float, bins: int, by: Se
     return df.where(F.col(value).between(lo, hi)).groupBy(*by, b.alias("bin")).agg(F.count(F.lit(1)).alias("n"))
 
 
-def boxplot(df: DataFrame, value: str, by: Sequence[str] = ("method",)) -> DataFrame:
-    """Quartiles, and whiskers at the outermost values within 1.5 interquartile ranges."""
-    q = df.groupBy(*by).agg(F.expr(f"percentile({value}, array(0.25, 0.5, 0.75))").alias("q"))
-    x = df.join(q, list(by)) if by else df.crossJoin(q)
+def boxplot(df: DataFrame, value: str, by: Sequence[str] = ("method",), **options) -> DataFrame:
+    """Quartiles, and whiskers at the outermost values within 1.5 interquartile ranges. Nulls don't count; no group's values meet in one task."""
+    values = ranked_values(df.where(F.col(value).isNotNull()), by, [value], **options)
+    q = quantiles(df, value, (0.25, 0.5, 0.75), by, **options).drop("n")
+    x = joined(values, q, by) if by else values.crossJoin(q)  # one row
     reach = 1.5 * (F.col("q")[2] - F.col("q")[0])
-    inside = F.when(F.col(value).between(F.col("q")[0] - reach, F.col("q")[2] + reach), F.col(value))
+    fits = F.col(value).between(F.col("q")[0] - reach, F.col("q")[2] + reach)
+    inside = F.when(fits, F.col(value))
     return x.groupBy(*by).agg(
         F.first(F.col("q")[0]).alias("q1"), F.first(F.col("q")[1]).alias("median"), F.first(F.col("q")[2]).alias("q3"),
-        F.min(inside).alias("whisker_low"), F.max(inside).alias("whisker_high"), F.count_if(inside.isNull() & F.col(value).isNotNull()).alias("n_outliers"))
+        F.min(inside).alias("whisker_low"), F.max(inside).alias("whisker_high"), F.sum(F.when(fits, 0).otherwise(F.col("ties"))).alias("n_outliers"))
 
 
 def ranking(summary: DataFrame, metric: str, by: Sequence[str] = ("method",)) -> DataFrame:

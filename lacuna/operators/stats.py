@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import special
+from .order import ranked_values
 
 
 def paired(raw: DataFrame, metric: str, baseline: str, by: Sequence[str] = ("fraction",), seed: str = "seed") -> DataFrame:
@@ -21,14 +22,14 @@ def paired(raw: DataFrame, metric: str, baseline: str, by: Sequence[str] = ("fra
 def wilcoxon(pairs: DataFrame, by: Sequence[str] = ("fraction", "method"), alternative: str = "two-sided", with_p: bool = False) -> DataFrame:
     """Signed-rank sums of x - y: ``(*by, n, w_plus, w_minus, statistic, tie_term)``, zero differences dropped.
 
-    Ranks of ties are averaged. ``with_p`` adds the p-value, computed for each group's row in an Arrow batch.
+    Ranks of ties are averaged; differences are ranked by their distinct sizes, so no task holds a group. ``with_p`` adds the p-value, computed for each group's row in an Arrow batch.
     """
     d = pairs.withColumn("d", F.col("x") - F.col("y")).where("d <> 0").withColumn("_a", F.round(F.abs("d"), 12))
-    w = Window.partitionBy(*by)
-    r = d.withColumn("_r", F.rank().over(w.orderBy("_a")) + (F.count(F.lit(1)).over(Window.partitionBy(*by, "_a")) - 1) / 2.0).withColumn("_t", F.count(F.lit(1)).over(Window.partitionBy(*by, "_a")))
+    signs = {"pos": F.count_if(F.col("d") > 0), "neg": F.count_if(F.col("d") < 0)}
+    r = ranked_values(d, by, ["_a"], signs).withColumn("_r", F.col("rank") + (F.col("ties") - 1) / 2.0)
     s = r.groupBy(*by).agg(
-        F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.when(F.col("d") > 0, F.col("_r"))), F.lit(0.0)).alias("w_plus"),
-        F.coalesce(F.sum(F.when(F.col("d") < 0, F.col("_r"))), F.lit(0.0)).alias("w_minus"), F.sum((F.col("_t") * F.col("_t") - 1).cast("double")).alias("tie_term"))
+        F.sum("ties").alias("n"), F.sum(F.col("pos") * F.col("_r")).alias("w_plus"), F.sum(F.col("neg") * F.col("_r")).alias("w_minus"),
+        F.sum((F.col("ties") * (F.col("ties") * F.col("ties") - 1)).cast("double")).alias("tie_term"))
     stat = F.least("w_plus", "w_minus") if alternative == "two-sided" else F.col("w_plus")
     s = s.withColumn("statistic", stat)
     if not with_p:

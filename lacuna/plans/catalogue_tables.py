@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.register import register_functions
 from ..operators import classify, metrics, stats
 from ..operators import features as ft
+from ..operators import order as ordering
 from ..sources import series as src
 from . import oracles as o
 from .catalogue_series import gapped, q, r
@@ -193,7 +193,5 @@ def confusion_matrix(spark, d):
 
 @query("sql_functions", f"WITH {o.ES}, k AS (SELECT label, flux, row_number() OVER (PARTITION BY label ORDER BY flux) - 1 AS i, count(*) OVER (PARTITION BY label) AS n FROM es) SELECT label, {q('avg(flux)')} AS trimmed FROM k WHERE i >= floor(0.05::DOUBLE * n) AND i < n - floor(0.05::DOUBLE * n) GROUP BY label")
 def sql_functions(spark, d):
-    """The registered aggregate, called from SQL."""
-    register_functions(spark)
-    src.events_series(spark, d).createOrReplaceTempView("lacuna_events")
-    return spark.sql("SELECT label, trimmed_mean(flux) AS trimmed FROM lacuna_events GROUP BY label").withColumn("trimmed", r("trimmed"))
+    """Trimmed means by distributed ranks, read from SQL (the registered aggregate ``trimmed_mean`` sorts a group in one worker)."""
+    return spark.sql("SELECT label, trimmed FROM {means}", means=ordering.trimmed_mean(src.events_series(spark, d), "flux", by=("label",))).withColumn("trimmed", r("trimmed"))
