@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import catalogue_kernels, catalogue_order, catalogue_series, catalogue_spectral, catalogue_tables
+from . import catalogue_jobs, catalogue_kernels, catalogue_order, catalogue_series, catalogue_spectral, catalogue_tables
 
-_PARTS = (catalogue_series, catalogue_tables, catalogue_spectral, catalogue_order, catalogue_kernels)
+_PARTS = (catalogue_series, catalogue_tables, catalogue_spectral, catalogue_order, catalogue_jobs, catalogue_kernels)
 
 
 def queries() -> dict:
