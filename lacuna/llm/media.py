@@ -38,11 +38,13 @@ def decode_netpbm(data: bytes) -> np.ndarray:
         at = m.end()
     w, h, top = (*head, 1)[:3]
     planes = 3 if kind in (b"P3", b"P6") else 1
-    if not 0 < top < 65536:
-        raise MediaError("maxval out of range")
+    if not 0 < top < 65536 or w < 1 or h < 1:
+        raise MediaError("maxval or size out of range")
     if kind in (b"P1", b"P2", b"P3"):
         body = re.sub(rb"#[^\n]*", b"", data[at:])
         values = [c - 48 for c in body if c in b"01"] if kind == b"P1" else list(map(int, body.split()))
+        if values and not 0 <= min(values) <= max(values) <= top:
+            raise MediaError("a sample beyond the maxval")
         flat = np.array(values[: w * h * planes], dtype=np.uint16 if top > 255 else np.uint8)
     elif kind == b"P4":
         row = -(-w // 8)
@@ -72,7 +74,7 @@ def decode_bmp(data: bytes) -> np.ndarray:
         raise MediaError("no BMP header")
     start, size, w, h, _, bits, packed, *_, colours, _ = struct.unpack_from("<I I i i H H I I i i I I", data, 10)
     down, h = h < 0, abs(h)
-    if packed or bits not in (1, 4, 8, 24, 32) or w <= 0:
+    if packed or bits not in (1, 4, 8, 24, 32) or w <= 0 or h <= 0 or start > len(data):
         raise MediaError("unsupported BMP")
     stride = (w * bits + 31) // 32 * 4
     raw = np.frombuffer(data, np.uint8, offset=start)
@@ -83,7 +85,12 @@ def decode_bmp(data: bytes) -> np.ndarray:
     if bits >= 24:
         return rows[:, : w * (bits // 8)].reshape(h, w, bits // 8)[:, :, 2::-1].copy()
     index = rows if bits == 8 else np.unpackbits(rows, axis=1) if bits == 1 else np.stack([rows >> 4, rows & 15], axis=2).reshape(h, -1)
-    palette = np.frombuffer(data, np.uint8, count=4 * (colours or 1 << bits), offset=14 + size).reshape(-1, 4)[:, 2::-1]
+    colours = colours or 1 << bits
+    if size < 0 or not 0 < colours <= 1 << bits or 14 + size + 4 * colours > len(data):
+        raise MediaError("broken palette")
+    palette = np.frombuffer(data, np.uint8, count=4 * colours, offset=14 + size).reshape(-1, 4)[:, 2::-1]
+    if index[:, :w].max() >= colours:
+        raise MediaError("a pixel beyond the palette")
     grey = (palette == palette[:, :1]).all()
     return palette[:, 0][index[:, :w]] if grey else palette[index[:, :w]]
 
@@ -115,30 +122,41 @@ def luma(image: np.ndarray) -> np.ndarray:
     return image.astype(np.float64) if image.ndim == 2 else image[:, :, :3] @ np.array([0.299, 0.587, 0.114])
 
 
-def area_resize(grey: np.ndarray, height: int, width: int) -> np.ndarray:
+def area_resize(image: np.ndarray, height: int, width: int) -> np.ndarray:
     """Means over the exact areas (fractions of pixels included) of a height x width grid: the integral
-    image is read between its points by linear interpolation, which is exact for areas."""
-    h, w = grey.shape
-    table_ = np.zeros((h + 1, w + 1))
-    np.cumsum(np.cumsum(grey, axis=0), axis=1, out=table_[1:, 1:])
+    image is read between its points by linear interpolation, which is exact for areas.
+
+    Only the rows of the integral image that the grid touches are kept; pixels become floats a block of rows at a time.
+    """
+    h, w = image.shape[:2]
     ys, xs = np.linspace(0, h, height + 1), np.linspace(0, w, width + 1)
     y0, x0 = np.minimum(ys.astype(int), h - 1), np.minimum(xs.astype(int), w - 1)
+    rows = np.unique([y0, y0 + 1])
+    kept, so_far, done = np.zeros((len(rows), w + 1)), np.zeros(w), 0
+    step = max(1, (1 << 18) // w)
+    for k, row in enumerate(rows):
+        while done < row:
+            end = min(row, done + step)
+            so_far += luma(image[done:end]).sum(axis=0)
+            done = end
+        np.cumsum(so_far, out=kept[k, 1:])
+    low, high = np.searchsorted(rows, y0), np.searchsorted(rows, y0 + 1)
     fy, fx = (ys - y0)[:, None], (xs - x0)[None, :]
-    at_y = table_[y0] * (1 - fy) + table_[y0 + 1] * fy
+    at_y = kept[low] * (1 - fy) + kept[high] * fy
     at = at_y[:, x0] * (1 - fx) + at_y[:, x0 + 1] * fx
     return np.diff(np.diff(at, axis=0), axis=1) / (h * w / (height * width))
 
 
-def difference_hash(grey: np.ndarray) -> int:
+def difference_hash(image: np.ndarray) -> int:
     """64 bits: whether each cell of an 8 x 9 area-resized grid is darker than its right neighbour."""
-    small = np.round(area_resize(grey, 8, 9), 6)
+    small = np.round(area_resize(image, 8, 9), 6)
     return int.from_bytes(np.packbits(small[:, :-1] < small[:, 1:]).tobytes(), "big")
 
 
-def npy_tile(grey: np.ndarray, side: int = TILE) -> bytes:
+def npy_tile(image: np.ndarray, side: int = TILE) -> bytes:
     """An area-resized uint8 tile in NPY format 1.0."""
     out = io.BytesIO()
-    np.lib.format.write_array(out, np.clip(np.rint(area_resize(grey, side, side)), 0, 255).astype(np.uint8), version=(1, 0))
+    np.lib.format.write_array(out, np.clip(np.rint(area_resize(image, side, side)), 0, 255).astype(np.uint8), version=(1, 0))
     return out.getvalue()
 
 
@@ -196,18 +214,19 @@ def media_features(media: DataFrame, data_col: str = "media") -> DataFrame:
     def one(data: bytes | None) -> tuple:
         try:
             image = decode(data or b"")
-        except (MediaError, ValueError, struct.error) as e:
+        except (ValueError, OverflowError, struct.error) as e:
             return (None,) * 10 + (str(e),)
         raw = image.tobytes()
-        grey = luma(image)
-        dhash = difference_hash(grey)
+        dhash = difference_hash(image)
         return (image.shape[1], image.shape[0], 1 if image.ndim == 2 else 3, len(raw), hashlib.sha256(raw).hexdigest(), zlib.crc32(raw[-64:]),
-                len(data), hashlib.sha256(data).hexdigest(), dhash - (1 << 64) if dhash >> 63 else dhash, npy_tile(grey), None)
+                len(data), hashlib.sha256(data).hexdigest(), dhash - (1 << 64) if dhash >> 63 else dhash, npy_tile(image), None)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = list(zip(*map(one, batch.column(len(keep)).to_pylist()))) or [()] * len(kinds)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *map(pa.array, rows, kinds)], names=names)
+            for at in range(0, batch.num_rows, 64):
+                part = batch.slice(at, 64)
+                rows = list(zip(*(one(x.as_py()) for x in part.column(len(keep)))))
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], *map(pa.array, rows, kinds)], names=names)
 
     schema = ", ".join(f"`{c}` {media.schema[c].dataType.simpleString()}" for c in keep)
     return slim.mapInArrow(run, f"{schema}, {FEATURES}")

@@ -41,6 +41,22 @@ def test_netpbm_text_forms_and_errors():
             media.decode(bad)
 
 
+def test_malformed_images_are_reasons_not_crashes(spark):
+    beyond = bytearray(media.encode_bmp(np.full((2, 3), 200, np.uint8)))
+    beyond[46:50] = (100).to_bytes(4, "little")  # a palette of 100 colours
+    short = media.encode_bmp(np.zeros((4, 4), np.uint8))[:60]
+    bad = [b"P2\n1 1\n255\n300\n", b"P2\n1 1\n255\n-1\n", b"P5\n0 4\n255\n", b"P5\n4 0\n255\n", bytes(beyond), short, b"P5\n99999999999 99999999999\n255\n\0", None, b""]
+    bad += [bytes(RNG.integers(0, 256, 80, dtype=np.uint8)) for _ in range(20)] + [b"BM" + bytes(RNG.integers(0, 256, 90, dtype=np.uint8)) for _ in range(50)]
+    got = media.media_features(spark.createDataFrame([(i, b) for i, b in enumerate(bad)], "id int, media binary")).collect()
+    assert len(got) == len(bad) and all(r.error for r in got[:9]) and all((r.error is None) == (r.width is not None) for r in got)
+
+
+def test_resizing_a_large_image_keeps_few_rows():
+    image = RNG.integers(0, 256, (40_000, 64, 3), dtype=np.uint8)
+    grey = media.luma(image)
+    assert np.allclose(media.area_resize(image, 8, 8), grey.reshape(8, 5000, 8, 8).mean(axis=(1, 3)))
+
+
 def test_area_resize_equals_supersampling():
     grey = RNG.uniform(0, 255, (6, 10))
     up = np.kron(grey, np.ones((8, 9)))  # 48 x 90 divides by 8 x 9

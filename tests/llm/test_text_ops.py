@@ -243,14 +243,6 @@ def test_kept_text_is_linear_and_exact(spark):
     assert got == [t if d is None else "\n".join(x for i, x in enumerate(t.split("\n")) if i not in set(d)) for t, d in cases]
 
 
-def test_rotations_keep_all_bits(spark):
-    x = spark.createDataFrame([(v,) for v in (0, 1, (1 << 60) - 1, 0x123456789ABCDEF)], "sim long")
-    for i, c in enumerate(lines._chosen(3, 5)):
-        back = x.select("sim", lines._restored(lines._rotated(F.col("sim"), c, i, 5), c, 5).alias("b"), F.shiftrightunsigned(lines._rotated(F.col("sim"), c, i, 5), 60).alias("n")).collect()
-        assert all(r.sim == r.b and r.n == i for r in back)
-
-
-# ------------------------------------------------------------------ SimHash
 def test_simhash_against_brute_force(spark, docs, empty):
     rows = fixture_rows()
     got = sorted(((str(r.doc_id), r.fp & (2**64 - 1), r.component_id) for r in simhash.near_duplicates(docs).collect()), key=str)
