@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Sequence
 
 import numpy as np
@@ -71,9 +72,19 @@ def missing_positions(df: DataFrame, keys: Sequence[str] = ("series_id", "fracti
     return df.withColumn("idx", F.row_number().over(w) - 1).where("is_missing").select(*keys, "idx")
 
 
+def key_seed(key) -> int:
+    """32 bits of one value of a group's key, the same in every process; nulls are 0."""
+    if key is None or key != key:
+        return 0
+    if isinstance(key, (int, float, np.number)):
+        return int(round(float(key) * 1000)) & 0xFFFFFFFF
+    return zlib.crc32(str(key).encode())
+
+
 def gap_mask(n: int, p: float, rng: np.random.Generator, block_ratio: float = 0.5, shortest: int = 5, longest: int = 50, variant: str = "index") -> np.ndarray:
     """True where missing. ``index``: floor(pn) in all, blocks that never reach the last sample; ``mask``: blocks may,
-    p unchecked; ``exact``: round(pn), blocks trimmed in index order to their exact share."""
+    p unchecked; ``exact``: round(pn), blocks trimmed in index order to their exact share. Blocks that find no
+    room in 10 n attempts leave the rest to single samples."""
     if variant not in ("index", "mask", "exact"):
         raise ValueError(f"unknown variant {variant!r}")
     if variant != "mask" and not 0 < p < 1:
@@ -82,7 +93,7 @@ def gap_mask(n: int, p: float, rng: np.random.Generator, block_ratio: float = 0.
     in_blocks = int(block_ratio * total)
     out = np.zeros(n, dtype=bool)
     tries = 0
-    while out.sum() < in_blocks and (tries < 10 * n or variant == "exact"):
+    while out.sum() < in_blocks and tries < 10 * n:
         size = int(rng.integers(shortest, longest + 1))
         high = n - size + (1 if variant == "mask" else 0)
         start = int(rng.integers(0, max(1, high)))
@@ -107,9 +118,9 @@ def inject_gaps(df: DataFrame, fractions: Sequence[float], seeds: Sequence[int],
     out = grid.withColumn("is_missing", F.lit(False)).withColumn("obs", F.col(value)).withColumn("truth", F.col(value))
     sort = list(order)
 
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values(sort, ignore_index=True)
-        rng = np.random.default_rng([int(frame["seed"].iloc[0]) & 0xFFFFFFFF, round(frame["fraction"].iloc[0] * 1000)])
+        rng = np.random.default_rng([int(frame["seed"].iloc[0]) & 0xFFFFFFFF, round(frame["fraction"].iloc[0] * 1000), *[key_seed(k) for k in key[: len(keys)]]])
         gone = gap_mask(len(frame), float(frame["fraction"].iloc[0]), rng, variant=variant, **options)
         frame["is_missing"] = gone
         frame.loc[gone, "obs"] = None

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from . import impute as native
 from . import kernels
+from .gaps import key_seed
 
 
 @dataclass(frozen=True)
@@ -69,7 +70,7 @@ def _kernel_run(method: Method, keys: Sequence[str], order: Sequence[str], optio
         t, y = frame[order[0]].to_numpy(dtype=float), frame["obs"].to_numpy(dtype=float)
         gone = np.isnan(y)
         period = float(frame["period"].iloc[0]) if has_period else 1.0
-        rng = np.random.default_rng([abs(hash(str(k))) % (1 << 32) if isinstance(k, str) else int(round(float(k) * 1000)) & 0xFFFFFFFF for k in key])
+        rng = np.random.default_rng([key_seed(k) for k in key])
         start, failed = time.perf_counter(), False
         try:
             out = y.copy() if not gone.any() else method.kernel(t, y, gone, period, rng, **options)
