@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..schema import FEATURES
 from . import period as per
+from .spectra import fast_peaks
 
 LAGS = (1, 2, 3, 5, 10, 20)
 TINY = 1e-10
@@ -85,11 +86,8 @@ def spectral_features(df: DataFrame, keys: Sequence[str] = ("series_id",), value
     s = seen.withColumn("_dt", F.col("t") - F.lag("t").over(w)).groupBy(*keys).agg(F.min("t").alias("t0"), F.max("t").alias("t1"), F.count(F.lit(1)).alias("n"), F.median("_dt").alias("med_dt"))
     s = s.withColumn("pmin", F.greatest(2 * F.col("med_dt"), F.lit(0.01))).withColumn("pmax", (F.col("t1") - F.col("t0")) / 2)
     grid = per._grid(s.where("n >= 5 AND pmin < pmax"), 1 / F.col("pmax"), 1 / F.col("pmin"), 5.0)
-    spectrum = per.lomb_scargle(seen, grid, keys, value=value)
-    first = per.peak(spectrum, keys)
-    # first and second peak from one pass over the spectrum: highest, then highest away from it
-    second = per.second_peak(spectrum, first, keys=keys).select(*keys, F.col("period").alias("p2"), F.col("power").alias("w2"))
-    x = s.select(*keys, "n", "pmax").join(first, list(keys), "left").join(second, list(keys), "left")
+    peaks = fast_peaks(seen, grid, keys, value=value, window=0.05).select(*keys, "period", "power", F.col("period2").alias("p2"), F.col("power2").alias("w2"))
+    x = s.select(*keys, "n", "pmax").join(peaks, list(keys), "left")
     p = F.coalesce("period", "pmax")
     p2 = F.when(F.coalesce(F.col("w2"), F.lit(0.0)) > 0, F.col("p2")).otherwise(p)
     lp = F.when(p > 0, F.log10(p + TINY)).otherwise(F.lit(0.0))

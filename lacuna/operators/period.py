@@ -1,7 +1,7 @@
 """Lomb-Scargle periodograms and what is read from them, in DataFrame operations.
 
-Every (sample, frequency) pair is one row of a generated stream that whole-stage code sums at once; power is the closed
-form of the floating-mean periodogram (Zechmeister & Kuerster 2009, uniform weights).
+In ``lomb_scargle`` every (sample, frequency) pair is one row of a generated stream that whole-stage code sums at once; power is the closed
+form of the floating-mean periodogram (Zechmeister & Kuerster 2009, uniform weights). What needs only peaks takes them from ``spectra``, by FFT.
 """
 
 from __future__ import annotations
@@ -11,6 +11,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .spectra import fast_peaks
+
 KEYS = ("series_id",)
 TWO_PI = 6.283185307179586
 #: Frequencies of a series that one task sums together.
@@ -90,7 +92,7 @@ def period_estimate(df: DataFrame, keys: Sequence[str] = KEYS, value: str = "obs
     """``(*keys, period)`` from the observed samples; 1.0 with fewer than ``least`` of them or no usable spectrum."""
     seen = df.where(F.col(value).isNotNull())
     enough = simple_grids(seen, fmin, fmax, keys=keys).where(F.col("n") >= least)
-    best = peak(lomb_scargle(seen, enough, keys, value=value), keys).select(*keys, "period")
+    best = fast_peaks(seen, enough, keys, value=value).select(*keys, "period")
     return df.select(*keys).distinct().join(best, list(keys), "left").withColumn("period", F.coalesce("period", F.lit(1.0)))
 
 
@@ -106,7 +108,7 @@ def ls_peaks(df: DataFrame, min_period: float | None = None, max_period: float |
     s = seen.withColumn("_dt", F.col("t") - F.lag("t").over(w)).groupBy(*keys).agg(F.min("t").alias("t0"), F.max("t").alias("t1"), F.count(F.lit(1)).alias("n"), F.median("_dt").alias("med_dt"))
     s = s.withColumn("pmin", pmin).withColumn("pmax", pmax)
     usable = s.where("n >= 5 AND pmin < pmax")
-    best = peak(lomb_scargle(seen, _grid(usable, 1 / F.col("pmax"), 1 / F.col("pmin"), per_peak), keys, value=value), keys)
+    best = fast_peaks(seen, _grid(usable, 1 / F.col("pmax"), 1 / F.col("pmin"), per_peak), keys, value=value)
     short = F.when(F.col("n") <= 1, F.lit(1.0)).otherwise(F.col("t1") - F.col("t0"))
     fallback = F.when(F.col("n") < 5, F.when(F.col("n") <= 1, short).otherwise(short / 2)).otherwise(F.col("pmax"))
     return s.select(*keys, fallback.alias("_fb")).join(best, list(keys), "left").select(
@@ -121,7 +123,7 @@ def recovery_bounds(df: DataFrame, keys: Sequence[str] = KEYS, fmax: float = 10.
 
 def period_recovery(df: DataFrame, truth: DataFrame, tol: float = 0.01, keys: Sequence[str] = KEYS, value: str = "imputed") -> DataFrame:
     """``(*keys, period, period_rel_err, period_recovered)`` against ``truth (series_id, true_period)``."""
-    best = peak(lomb_scargle(df, recovery_bounds(df, keys), keys, value=value), keys)
+    best = fast_peaks(df, recovery_bounds(df, keys), keys, value=value)
     on = [c for c in truth.columns if c in keys]
     x = df.select(*keys).distinct().join(best, list(keys), "left").join(truth, on)
     err = F.abs(F.col("period") - F.col("true_period")) / (F.col("true_period") + 1e-8)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import features as ft
 from ..operators import gaps, impute, metrics
 from ..operators import period as per
+from ..operators.spectra import fast_peaks, ls_fast
 from ..schema import FEATURES
 from ..sources import series as src
 from . import oracles as o
@@ -42,6 +43,14 @@ def lomb_scargle(spark, d):
     return s.select("series_id", F.col("k").cast("long").alias("k"), r("freq").alias("freq"), r("power", 4).alias("power"))
 
 
+@query("ls_fast", f"WITH {SP1} SELECT series_id, k, {q('freq')} AS freq, {q('power', 6)} AS power FROM sp")
+def ls_fast_(spark, d):
+    """The same spectra by FFT, to the sixth digit."""
+    e = src.events_series(spark, d)
+    s = ls_fast(e, per.simple_grids(e, 0.1, 1.0))
+    return s.select("series_id", "k", r("freq").alias("freq"), r("power", 6).alias("power"))
+
+
 G3 = o.G.replace("(VALUES (100), (300), (500))", "(VALUES (300))")
 PE = G3 + "," + o.lomb_scargle("g", "series_id, fraction", _grid("g", "series_id, fraction", "0.1::DOUBLE", "10.0::DOUBLE", "obs", "n >= 10"), "obs") + "," + o.peak("sp", "series_id, fraction")
 
@@ -60,10 +69,8 @@ def ls_peak(spark, d):
 @query("ls_second_peak", f"WITH {SECOND} SELECT series_id, {q('period')} AS period, {q('power', 4)} AS power FROM pk2")
 def ls_second_peak(spark, d):
     e = src.events_series(spark, d)
-    w = per.ls_peaks(e)
-    s = e.groupBy("series_id").agg(F.min("t").alias("t0"), F.max("t").alias("t1"), F.count(F.lit(1)).alias("n"))
     g = per.grids(e, F.lit(2.0) / (F.col("t1") - F.col("t0")), 1 / F.greatest(2 * F.col("med_dt"), F.lit(0.01)))
-    p = per.second_peak(per.lomb_scargle(e, g), w.join(s, "series_id").select("series_id", "freq"))
+    p = fast_peaks(e, g, window=0.05).select("series_id", F.col("period2").alias("period"), F.col("power2").alias("power"))
     return p.select("series_id", r("period").alias("period"), r("power", 4).alias("power"))
 
 
@@ -94,7 +101,7 @@ def period_recovery(spark, d):
 @query("metric_phase", f"WITH {PHASE} SELECT series_id, fraction, {q('phase_error', 4)} AS phase_error, {q('phase_error_corrected', 4)} AS phase_error_corrected FROM ph")
 def metric_phase(spark, d):
     x = _linear30(spark, d)
-    best = per.peak(per.lomb_scargle(x, per.recovery_bounds(x, impute.KEYS), impute.KEYS, value="imputed"), impute.KEYS)
+    best = fast_peaks(x, per.recovery_bounds(x, impute.KEYS), impute.KEYS, value="imputed")
     p = metrics.phase_error(x, best)
     return p.select("series_id", "fraction", r("phase_error", 4).alias("phase_error"), r("phase_error_corrected", 4).alias("phase_error_corrected"))
 
