@@ -110,6 +110,15 @@ def summarise(raw: DataFrame, by: Sequence[str] = ("method", "fraction"), metric
     return raw.groupBy(*by).agg(*aggs)
 
 
+def summarise_cube(raw: DataFrame, by: Sequence[str] = ("method", "fraction"), metrics: Sequence[str] = METRICS, rollup: bool = False) -> DataFrame:
+    """``summarise`` over every subset of ``by`` (``rollup``: its prefixes) in one pass: rows multiply map-side, before the combine. ``level`` is the grouping
+    number: a bit per name, the last one lowest, set where the name is summed over; it tells such a null from one among the data."""
+    have = [m for m in metrics if m in raw.columns]
+    sets = raw.rollup(*by) if rollup else raw.cube(*by)
+    aggs = [f(F.col(m).cast("double")).alias(f"{m}_{n}") for m in have for n, f in (("mean", F.avg), ("std", F.stddev_samp))]
+    return sets.agg(F.grouping_id().alias("level"), F.count(F.lit(1)).alias("n"), *aggs)
+
+
 def two_level(raw: DataFrame, metric: str, by: Sequence[str] = ("method", "fraction"), seed: str = "seed") -> DataFrame:
     """Mean per seed first, then mean and population deviation over seeds."""
     per_seed = raw.groupBy(*by, seed).agg(F.avg(metric).alias("_m"))

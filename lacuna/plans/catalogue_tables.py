@@ -129,9 +129,31 @@ def decision_table(spark, d):
     return stats.decision_table(raw(spark, d), "rmse", "Linear-Interp", "Mean-Fill")
 
 
-@query("bootstrap_ci")
+PB = f"""bw0 AS (SELECT {{keys}}, seed, rmse, b, ((seed % {stats.PRIME}) * 48271 + b * 69621 + 42) % {stats.PRIME} AS h FROM {{source}}, unnest(range(0, 10000)) AS t(b) WHERE rmse IS NOT NULL),
+bw1 AS (SELECT *, (((h * h + 12345) % {stats.PRIME}) * 16807 + h) % {stats.PRIME} AS h2 FROM bw0),
+bw2 AS (SELECT *, (h2 * h2 + b) % {stats.PRIME} AS u FROM bw1),
+bw AS (SELECT *, CASE {' '.join(f'WHEN u < {p} THEN {k}' for k, p in enumerate(stats.POISSON))} ELSE {len(stats.POISSON)} END AS w FROM bw2),
+bm AS (SELECT {{keys}}, b, sum(w * rmse) / sum(w) AS m FROM bw WHERE w > 0 GROUP BY ALL),
+bq AS (SELECT {{keys}}, quantile_cont(m, 0.025) AS lo, quantile_cont(m, 0.975) AS hi FROM bm GROUP BY ALL)"""
+
+
+@query("bootstrap_ci", f"WITH {RAW}, {PB.format(keys='method, fraction', source='raw')} SELECT bq.method, bq.fraction, n, {q('mean')} AS mean, {q('lo')} AS ci_lower, {q('hi')} AS ci_upper FROM bq JOIN (SELECT method, fraction, count(rmse) AS n, avg(rmse) AS mean FROM raw GROUP BY ALL) USING (method, fraction)")
 def bootstrap_ci(spark, d):
-    return stats.bootstrap_ci(raw(spark, d), "rmse", n_bootstrap=2000)
+    """10,000 resamples by Poisson weights."""
+    b = stats.poisson_bootstrap(raw(spark, d), "rmse")
+    return b.select("method", "fraction", "n", *[r(c).alias(c) for c in ("mean", "ci_lower", "ci_upper")])
+
+
+def _sets(name: str, how: str, rollup: bool) -> None:
+    def run(spark, d):
+        s = metrics.summarise_cube(raw(spark, d), metrics=NAMES, rollup=rollup)
+        return s.select("method", "fraction", F.col("level").cast("int").alias("level"), "n", *[r(f"{m}_{k}").alias(f"{m}_{k}") for m in NAMES for k in ("mean", "std")])
+
+    QUERIES[name] = (run, f"WITH {RAW} SELECT method, fraction, grouping_id(method, fraction)::INTEGER AS level, count(*) AS n, " + ", ".join(f"{q(f'avg({m})')} AS {m}_mean, {q(f'stddev_samp({m})')} AS {m}_std" for m in NAMES) + f" FROM raw GROUP BY {how} (method, fraction)")
+
+
+_sets("summarise_cube", "CUBE", False)
+_sets("summarise_rollup", "ROLLUP", True)
 
 
 @query("prr_array", f"WITH {o.ES}, p AS (SELECT label, flux AS p_true, flux * (1 + (event_id % 10) / 100e0) AS p_imp FROM es WHERE flux > 0) SELECT label, {q('avg((abs(p_imp - p_true) / p_true < 0.045)::INTEGER)')} AS prr FROM p GROUP BY 1")

@@ -189,3 +189,26 @@ def test_load_dataset_skips_files_without_flux(spark, tmp_path):
     spark.range(5).selectExpr("CAST(id AS DOUBLE) AS time", "1 AS label").coalesce(1).write.parquet(str(tmp_path / "d" / "b"))
     rows = series.load_dataset(spark, str(tmp_path / "d"), window=3).collect()
     assert len(rows) == 3 and all(r.flux == 1 for r in rows)
+
+
+def test_poisson_bootstrap_covers_the_mean(spark):
+    """Of 200 samples of 40 normal numbers, the 95 % interval holds the true mean in nearly as many; constant groups have a point."""
+    rng = np.random.default_rng(2)
+    rows = [("m", float(g), i + 1000 * g, float(rng.normal(5, 2))) for g in range(200) for i in range(40)]
+    rows += [("flat", 0.0, i, 3.0) for i in range(9)] + [("none", 0.0, 1, None), ("text", 0.0, None, 2.0)]
+    df = spark.createDataFrame(rows, "method string, fraction double, seed long, v double")
+    got = stats.poisson_bootstrap(df, "v", n_bootstrap=500).collect()
+    inside = [r.ci_lower <= 5 <= r.ci_upper for r in got if r.method == "m"]
+    assert len(inside) == 200 and sum(inside) >= 176  # 88 of 100
+    flat = next(r for r in got if r.method == "flat")
+    assert (flat.n, flat.mean, flat.ci_lower, flat.ci_upper) == (9, 3.0, 3.0, 3.0) and {r.method for r in got} == {"m", "flat", "text"}
+    weights = spark.range(20_000).select(stats.poisson_weight(F.col("id"), F.lit(7)).alias("w")).groupBy("w").count().collect()
+    share = {r.w: r["count"] / 20_000 for r in weights}
+    assert share[0] == pytest.approx(0.368, abs=0.012) and share[1] == pytest.approx(0.368, abs=0.012) and share[2] == pytest.approx(0.184, abs=0.01)
+
+
+def test_cube_of_summaries(spark):
+    rows = [("a", 0.1, 1.0), ("a", 0.3, 2.0), ("b", 0.1, 4.0), ("b", None, 8.0)]
+    got = {(r.method, r.fraction, r.level): (r.n, r.rmse_mean) for r in metrics.summarise_cube(spark.createDataFrame(rows, "method string, fraction double, rmse double")).collect()}
+    assert got[None, None, 3] == (4, 3.75) and got["a", None, 1] == (2, 1.5) and got[None, 0.1, 2] == (2, 2.5)
+    assert got["b", None, 0] == (1, 8.0) and got[None, None, 2] == (1, 8.0) and len(got) == 10
