@@ -73,24 +73,74 @@ def lag_phase_matrix(df: DataFrame, L: int = 5, period: Column | float = 1.0, ke
     return df.withColumns(new | {"sin": F.sin(x), "cos": F.cos(x)})
 
 
-def knn(df: DataFrame, k: int = 5, W: int = 10, keys: Sequence[str] = KEYS, order: Sequence[str] = ORDER) -> DataFrame:
+def _neighbourhoods(df: DataFrame, W: int, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """``df`` plus its row number ``_i``, the 2 W values around each row ``_d`` (rows i - W to i + W - 1) and how many of them are there ``_c``."""
+    w = Window.partitionBy(*keys).orderBy(*order)
+    slots = F.array(*[(F.lag("obs", W - j) if j < W else F.lead("obs", j - W)).over(w) for j in range(2 * W)])
+    return df.withColumn("_i", F.row_number().over(w)).withColumn("_d", slots).withColumn("_c", F.count("obs").over(w.rowsBetween(-W, W - 1)))
+
+
+def _nearest(pairs: DataFrame, k: int, keys: Sequence[str]) -> DataFrame:
+    """The ``k`` rows of each target with the least ``(d, i)``; a task keeps k a target before the exchange."""
+    w = Window.partitionBy(*keys, "_i").orderBy("d", "i")
+    return pairs.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= k).drop("_r")
+
+
+def _gap() -> Column:
+    return F.sqrt(F.aggregate(F.zip_with("_d", "k_d", lambda a, b: F.coalesce((a - b) * (a - b), F.lit(0.0))), F.lit(0.0), lambda acc, x: acc + x))
+
+
+def _indexed_pairs(targets: DataFrame, donors: DataFrame, k: int, keys: Sequence[str]) -> DataFrame:
+    """``(*keys, _i, d, i, f)``: pairs among which every target's ``k`` nearest donors are, without meeting all donors.
+
+    Donors are dealt to some sqrt(n) / 2 blocks by level and slope of their neighbourhoods; a block is known by the range of each slot. The distance to
+    that box over the slots a target has is a lower bound, whatever it lacks. A target meets the block with the least bound first; its k-th distance there is an
+    upper bound for all others, and only blocks whose lower bound reaches no further are met. Smooth series meet few; noise meets most, and stays exact.
+    """
+    names = list(keys)
+    half = F.size("k_d") / 2
+    total = lambda x: F.aggregate(x, F.lit(0.0), lambda a, v: a + v)
+    x = donors.withColumn("_level", total(F.col("k_d"))).withColumn("_slope", F.col("_level") - 2 * total(F.slice("k_d", 1, half.cast("int"))))
+    n = F.count(F.lit(1)).over(Window.partitionBy(*names))
+    side = F.greatest(F.lit(1), F.floor(F.sqrt(F.sqrt(n) / 2))).cast("int")  # blocks along each of the two directions
+    x = x.withColumn("_side", side).withColumn("_u", F.floor((F.row_number().over(Window.partitionBy(*names).orderBy("_level", "k_i")) - 1) * F.col("_side") / n).cast("int"))
+    inner = Window.partitionBy(*names, "_u")
+    v = F.floor((F.row_number().over(inner.orderBy("_slope", "k_i")) - 1) * F.col("_side") / F.count(F.lit(1)).over(inner)).cast("int")
+    x = x.withColumn("_b", F.col("_u") * F.col("_side") + v).select(*names, "_b", "k_d", "k_obs", "k_i")
+    slots = x.select(*names, "_b", F.posexplode("k_d").alias("_j", "_v")).groupBy(*names, "_b", "_j").agg(F.min("_v").alias("lo"), F.max("_v").alias("hi"))
+    boxes = slots.groupBy(*names, "_b").agg(F.array_sort(F.collect_list(F.struct("_j", "lo", "hi"))).alias("_box"))  # 2 W entries a block
+
+    outside = F.zip_with("_d", "_box", lambda a, b: F.coalesce(F.pow(F.greatest(b["lo"] - a, a - b["hi"], F.lit(0.0)), 2.0), F.lit(0.0)))
+    middle = F.zip_with("_d", "_box", lambda a, b: F.coalesce(F.pow(a - (b["lo"] + b["hi"]) / 2, 2.0), F.lit(0.0)))
+    known = F.zip_with("_d", "_d", lambda a, b: F.when(a.isNotNull(), 1.0).otherwise(0.0))
+    # greatest skips nulls, so a slot the target lacks would count as outside unless it is masked
+    bound = F.aggregate(F.zip_with(outside, known, lambda a, m: a * m), F.lit(0.0), lambda acc, z: acc + z)
+    near = targets.join(boxes, names).select(*names, "_i", F.struct(bound.alias("lb"), total(middle).alias("m"), "_b").alias("s"))
+    ordered = near.groupBy(*names, "_i").agg(F.array_sort(F.collect_list("s")).alias("_s"))  # sqrt(n) / 2 blocks
+    homed = targets.join(ordered, [*names, "_i"]).withColumn("_b", F.col("_s")[0]["_b"])
+    pair = lambda t: t.join(x, [*names, "_b"]).select(*names, "_i", _gap().alias("d"), F.col("k_i").alias("i"), F.col("k_obs").alias("f"))
+    home = _nearest(pair(homed), k, names)
+    reach = home.groupBy(*names, "_i").agg(F.when(F.count(F.lit(1)) >= k, F.max("d")).alias("_reach"))
+    others = homed.join(reach, [*names, "_i"]).select(*names, "_i", "_d", "_reach", F.explode(F.slice("_s", F.lit(2), F.size("_s"))).alias("_o"))
+    others = others.where(F.col("_reach").isNull() | (F.sqrt("_o.lb") * (1 - 1e-9) <= F.col("_reach"))).withColumn("_b", F.col("_o._b"))
+    return home.unionByName(_nearest(pair(others), k, names))
+
+
+def knn(df: DataFrame, k: int = 5, W: int = 10, keys: Sequence[str] = KEYS, order: Sequence[str] = ORDER, index: bool = False) -> DataFrame:
     """Weighted mean of the ``k`` donors whose neighbourhoods (rows i-W to i+W-1) are nearest.
 
     Donors are observed rows with a complete neighbourhood; distances run over the target's observed slots; weights are
-    1 / (distance + 1e-8). Targets without context or donors get the mean. Donors and targets of a series meet in an
-    equi-join on the series, aggregated at once: a top-k of a struct array, no sort of all pairs.
+    1 / (distance + 1e-8). Targets without context or donors get the mean; null keys too. Donors and targets of a series meet in an
+    equi-join on the series: all of them, or with ``index`` (for series of many thousand rows) those that block bounds can't rule out. The result is the same.
     """
-    w = Window.partitionBy(*keys).orderBy(*order)
-    frame = w.rowsBetween(-W, W - 1)
-    slots = F.array(*[(F.lag("obs", W - j) if j < W else F.lead("obs", j - W)).over(w) for j in range(2 * W)])
-    d = df.withColumn("_i", F.row_number().over(w)).withColumn("_d", slots).withColumn("_c", F.count("obs").over(frame))
-    donors = d.where((F.col("_c") == 2 * W) & F.col("obs").isNotNull()).select(*[F.col(c).alias(f"k_{c}") for c in keys], F.col("_d").alias("k_d"), F.col("obs").alias("k_obs"), F.col("_i").alias("k_i"))
+    d = _neighbourhoods(df, W, keys, order)
+    donors = d.where((F.col("_c") == 2 * W) & F.col("obs").isNotNull()).select(*keys, F.col("_d").alias("k_d"), F.col("obs").alias("k_obs"), F.col("_i").alias("k_i"))
     targets = d.where("obs IS NULL AND _c > 0").select(*keys, "_i", "_d")
-    on = [F.col(c) == F.col(f"k_{c}") for c in keys]
-    gap = F.sqrt(F.aggregate(F.zip_with("_d", "k_d", lambda a, b: F.coalesce((a - b) * (a - b), F.lit(0.0))), F.lit(0.0), lambda acc, x: acc + x))
-    near = targets.join(donors, on).select(*keys, "_i", F.struct(gap.alias("d"), F.col("k_i").alias("i"), F.col("k_obs").alias("f")).alias("n"))
-    best = near.withColumn("_r", F.row_number().over(Window.partitionBy(*keys, "_i").orderBy("n.d", "n.i"))).where(F.col("_r") <= k)
-    est = best.groupBy(*keys, "_i").agg((F.sum(F.col("n.f") / (F.col("n.d") + 1e-8)) / F.sum(1 / (F.col("n.d") + 1e-8))).alias("_est"))
+    if index:
+        pairs = _indexed_pairs(targets, donors, k, keys)
+    else:
+        pairs = targets.join(donors, list(keys)).select(*keys, "_i", _gap().alias("d"), F.col("k_i").alias("i"), F.col("k_obs").alias("f"))
+    est = _nearest(pairs, k, keys).groupBy(*keys, "_i").agg((F.sum(F.col("f") / (F.col("d") + 1e-8)) / F.sum(1 / (F.col("d") + 1e-8))).alias("_est"))
     out = d.join(est, [*keys, "_i"], "left")
     return out.withColumn("imputed", F.coalesce("obs", "_est", F.avg("obs").over(Window.partitionBy(*keys)))).drop("_i", "_d", "_c", "_est")
 

@@ -271,21 +271,29 @@ def impute_linear_index(spark, d):
     return _filled(impute.linear(gapped(spark, d), ends="clamp", by="index"))
 
 
-_slots = ", ".join(f"{'lag' if j < 4 else 'lead'}(obs, {abs(4 - j)}) OVER ({o.W}) AS d{j}" for j in range(8))
-_dist = " + ".join(f"coalesce(pow(a.d{j} - b.d{j}, 2), 0)" for j in range(8))
-
-
-@query("impute_knn", f"""WITH {o.G}, s AS (SELECT *, row_number() OVER ({o.W}) AS i, {_slots}, count(obs) OVER ({o.W} ROWS BETWEEN 4 PRECEDING AND 3 FOLLOWING) AS c,
-    avg(obs) OVER (PARTITION BY series_id, fraction) AS mu FROM g WHERE fraction < 0.4),
-n AS (SELECT a.series_id, a.fraction, a.event_id, b.i AS bi, b.obs AS f, sqrt({_dist}) AS dist FROM s a JOIN s b ON a.series_id = b.series_id AND a.fraction = b.fraction
-  WHERE a.obs IS NULL AND a.c > 0 AND b.c = 8 AND b.obs IS NOT NULL),
+def _knn_sql(W: int, where: str) -> str:
+    slots = ", ".join(f"{'lag' if j < W else 'lead'}(obs, {abs(W - j)}) OVER ({o.W}) AS d{j}" for j in range(2 * W))
+    dist = " + ".join(f"coalesce(pow(a.d{j} - b.d{j}, 2), 0)" for j in range(2 * W))
+    return f"""WITH {o.G}, s AS (SELECT *, row_number() OVER ({o.W}) AS i, {slots}, count(obs) OVER ({o.W} ROWS BETWEEN {W} PRECEDING AND {W - 1} FOLLOWING) AS c,
+    avg(obs) OVER (PARTITION BY series_id, fraction) AS mu FROM g WHERE {where}),
+n AS (SELECT a.series_id, a.fraction, a.event_id, b.i AS bi, b.obs AS f, sqrt({dist}) AS dist FROM s a JOIN s b ON a.series_id = b.series_id AND a.fraction = b.fraction
+  WHERE a.obs IS NULL AND a.c > 0 AND b.c = {2 * W} AND b.obs IS NOT NULL),
 k AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY series_id, fraction, event_id ORDER BY dist, bi) AS rn FROM n) WHERE rn <= 5),
 e AS (SELECT series_id, fraction, event_id, sum(f / (dist + 1e-8)) / sum(1 / (dist + 1e-8)) AS est FROM k GROUP BY ALL)
-SELECT s.series_id, s.fraction, s.event_id, {q('coalesce(est, mu)')} AS imputed FROM s LEFT JOIN e USING (series_id, fraction, event_id) WHERE is_missing""")
+SELECT s.series_id, s.fraction, s.event_id, {q('coalesce(est, mu)')} AS imputed FROM s LEFT JOIN e USING (series_id, fraction, event_id) WHERE is_missing"""
+
+
+@query("impute_knn", _knn_sql(4, "fraction < 0.4"))
 def impute_knn(spark, d):
     return _filled(impute.knn(gaps.hash_mask(src.events_series(spark, d), (0.1, 0.3)), W=4))
 
 
+@query("impute_knn_index", _knn_sql(10, "true"))
+def impute_knn_index(spark, d):
+    """The default neighbourhood and all fractions, through the block index."""
+    return _filled(impute.knn(gapped(spark, d), index=True))
+
+
 _lagcols = ", ".join(f"{q(f'{f}(obs, {k}) OVER ({o.W})')} AS {f}{k}" for k in range(1, 6) for f in ("lag", "lead"))
 
 

@@ -212,3 +212,32 @@ def test_cube_of_summaries(spark):
     got = {(r.method, r.fraction, r.level): (r.n, r.rmse_mean) for r in metrics.summarise_cube(spark.createDataFrame(rows, "method string, fraction double, rmse double")).collect()}
     assert got[None, None, 3] == (4, 3.75) and got["a", None, 1] == (2, 1.5) and got[None, 0.1, 2] == (2, 2.5)
     assert got["b", None, 0] == (1, 8.0) and got[None, None, 2] == (1, 8.0) and len(got) == 10
+
+
+@pytest.mark.parametrize("W,n", [(2, 700), (10, 900)])
+def test_knn_index_equals_all_pairs(spark, W, n):
+    rng = np.random.default_rng(W)
+    rows = []
+    for s, noise in ((1, 0.01), (2, 1.0)):
+        gone = rng.random(n) < 0.06
+        rows += [(s, 0.1, i, float(i), None if gone[i] else round(float(np.sin(i / 9) + noise * rng.normal()), 6)) for i in range(n)]
+    rows += [(3, 0.1, i, float(i), None if i % 2 else 1.0) for i in range(30)] + [(4, 0.1, 0, 0.0, None), (None, 0.1, 0, 0.0, None), (None, 0.1, 1, 1.0, 2.0)]
+    df = spark.createDataFrame(rows, "series_id long, fraction double, event_id long, t double, obs double")
+    get = lambda x: {(r.series_id, r.event_id): r.imputed for r in x.collect()}
+    plain, indexed = get(impute.knn(df, 3, W)), get(impute.knn(df, 3, W, index=True))
+    assert len(plain) == len(indexed) == len(rows) and all(v is None if indexed[k] is None else v == pytest.approx(indexed[k], rel=1e-12) for k, v in plain.items())
+
+
+def test_knn_index_on_a_long_smooth_series_meets_few_pairs(spark):
+    n = 100_000
+    t = F.col("id").cast("double")
+    noise = F.pmod(F.xxhash64("id"), F.lit(1000)) / 1e4
+    df = spark.range(n).select(F.lit(1).alias("series_id"), F.lit(0.1).alias("fraction"), F.col("id").alias("event_id"), t.alias("t"), F.when(F.pmod(F.xxhash64("id", F.lit(2)), F.lit(1000)) >= 20, F.sin(t / 500) * (1 + t / n) + noise).alias("obs"))
+    d = impute._neighbourhoods(df, 10, impute.KEYS, impute.ORDER).cache()
+    donors = d.where("_c = 20 AND obs IS NOT NULL").select(*impute.KEYS, F.col("_d").alias("k_d"), F.col("obs").alias("k_obs"), F.col("_i").alias("k_i"))
+    targets = d.where("obs IS NULL AND _c > 0").select(*impute.KEYS, "_i", "_d")
+    few = targets.where("_i % 50 = 0")
+    want = {r._i: r.d for r in impute._nearest(few.join(donors, list(impute.KEYS)).select(*impute.KEYS, "_i", impute._gap().alias("d"), F.col("k_i").alias("i"), F.col("k_obs").alias("f")), 1, impute.KEYS).collect()}
+    found = impute._nearest(impute._indexed_pairs(targets, donors, 5, impute.KEYS), 1, impute.KEYS).collect()
+    got = {r._i: r.d for r in found}
+    assert len(got) == targets.count() > 1500 and all(got[i] == want[i] for i in want) and len(want) > 20
