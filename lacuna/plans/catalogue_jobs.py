@@ -1,4 +1,4 @@
-"""The jobs as queries: each runs twice into one new folder of the cluster's shared one, and its whole output is read back."""
+"""Jobs and streams as queries. Each job runs twice into one new folder of the cluster's shared one; a stream runs to its end; the whole output is read back."""
 
 from __future__ import annotations
 
@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from jobs import labelled_split, light_curves
 
+from .. import streaming
 from ..session import shared_dir
 from . import oracles as o
 from .catalogue_series import q, r
@@ -66,3 +67,49 @@ def job2_labelled_split(spark, d) -> DataFrame:
     for _ in range(2):
         labelled_split.build(spark, f"{d}/documents.parquet", f"{d}/labels.parquet", at, SPLIT)
     return labelled_split.read_corpus(spark, at)
+
+
+def _streamed(spark, df: DataFrame, name: str, **options) -> DataFrame:
+    at = folder(spark, name)
+    return streaming.run_to_files(df, f"{at}/rows", f"{at}/checkpoint", **options)
+
+
+@query("stream_windows", f"SELECT strftime(date_trunc('day', ts), '%Y-%m-%d %H:%M:%S') AS start, event_type, count(*) AS n, {q('avg(value)')} AS mean FROM events GROUP BY 1, 2")
+def stream_windows(spark, d):
+    """Every day's summary so far."""
+    t = _streamed(spark, streaming.windowed_summary(streaming.read_events(spark, d)), "windows", mode="complete")
+    return t.select(F.col("window.start").cast("string").alias("start"), "event_type", "n", r("mean").alias("mean"))
+
+
+#: Event times up to the watermark once all events are read.
+PASSED = "(SELECT max(ts) - INTERVAL 2 DAY FROM events)"
+
+
+@query("stream_sliding", f"""WITH w AS (SELECT event_type, value, to_timestamp(epoch(ts)::BIGINT // 21600 * 21600 - k * 21600) AT TIME ZONE 'UTC' AS s FROM events, unnest([0, 1, 2, 3]) AS t(k))
+SELECT strftime(s, '%Y-%m-%d %H:%M:%S') AS start, event_type, count(*) AS n, {q('avg(value)')} AS mean, min(value) AS lo, max(value) AS hi FROM w GROUP BY s, event_type HAVING s + INTERVAL 1 DAY <= {PASSED}""")
+def stream_sliding(spark, d):
+    """Windows of a day every six hours, each once the watermark has closed it."""
+    t = _streamed(spark, streaming.windowed_summary(streaming.read_events(spark, d), "1 day", "6 hours"), "sliding")
+    return t.select(F.col("window.start").cast("string").alias("start"), "event_type", "n", r("mean").alias("mean"), "lo", "hi")
+
+
+@query("stream_sessions", f"""WITH b AS (SELECT *, CASE WHEN ts - lag(ts) OVER w < INTERVAL 6 HOUR THEN 0 ELSE 1 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM b)
+SELECT user_id, epoch_us(min(ts)) AS start, epoch_us(max(ts) + INTERVAL 6 HOUR) AS "end", count(*) AS n FROM s GROUP BY user_id, k HAVING max(ts) + INTERVAL 6 HOUR <= {PASSED}""")
+def stream_sessions(spark, d):
+    """Sessions with silences of under six hours, each once it is closed."""
+    t = _streamed(spark, streaming.session_summary(streaming.read_events(spark, d)), "sessions")
+    return t.select("user_id", F.unix_micros("session_window.start").alias("start"), F.unix_micros("session_window.end").alias("end"), "n")
+
+
+@query("stream_carry_forward", """SELECT user_id, event_id, last_value(CASE WHEN event_id % 3 <> 0 THEN value END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS imputed, false AS late FROM events""")
+def stream_carry_forward(spark, d):
+    e = streaming.read_events(spark, d).withColumn("obs", F.when(F.col("event_id") % 3 != 0, F.col("value")))
+    return _streamed(spark, streaming.carry_forward(e), "carried", partition_by=("late",)).drop("ts")
+
+
+@query("stream_gap_alarms", f"""WITH e AS (SELECT user_id, epoch_us(ts) // 1000 AS ms, lead(epoch_us(ts) // 1000) OVER (PARTITION BY user_id ORDER BY ts) AS nx FROM events)
+SELECT user_id, ms AS start, nx AS "end" FROM e WHERE nx - ms > 259200000 OR (nx IS NULL AND ms + 259200000 <= epoch_us({PASSED}) // 1000)""")
+def stream_gap_alarms(spark, d):
+    t = _streamed(spark, streaming.gap_alarms(streaming.read_events(spark, d)), "alarms")
+    return t.select("user_id", F.unix_millis("start").alias("start"), F.unix_millis("end").alias("end"))

@@ -2,12 +2,9 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .. import streaming
 from ..functions import signal
 from ..operators import classify, gaps, metrics, registry
 from ..operators import features as ft
@@ -121,16 +118,3 @@ def clf_svm(spark, d):
 def clf_importance(spark, d):
     model, _ = classify.train_forest(_features(spark, d), NAMES, trees=10, depth=4, folds=0)
     return spark.createDataFrame([(i, n, round(v, 6)) for i, (n, v) in enumerate(classify.importance(model, NAMES))], "rank long, feature string, importance double")
-
-
-@query("stream_windows")
-def stream_windows(spark, d):
-    e = streaming.read_events(spark, d)
-    t = streaming.run_to_table(streaming.windowed_summary(e), f"w{uuid.uuid4().hex}", "complete")
-    return t.select(F.col("window.start").cast("string").alias("start"), "event_type", "n", r("mean").alias("mean"))
-
-
-@query("stream_carry_forward")
-def stream_carry_forward(spark, d):
-    e = streaming.read_events(spark, d).withColumn("obs", F.when(F.col("event_id") % 3 != 0, F.col("value")))
-    return streaming.run_to_table(streaming.carry_forward(e), f"c{uuid.uuid4().hex}")

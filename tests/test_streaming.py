@@ -1,4 +1,4 @@
-"""Streams driven to their end over a small folder."""
+"""Streams driven into files over a small folder: restarts, late rows, timers."""
 
 import datetime as dt
 
@@ -8,27 +8,60 @@ from pyspark.sql import functions as F
 from lacuna import streaming
 from lacuna.operators import classify
 
+T0 = dt.datetime(2024, 1, 1)
 
-@pytest.fixture(scope="module")
-def folder(spark, tmp_path_factory):
-    path = str(tmp_path_factory.mktemp("stream"))
-    t0 = dt.datetime(2024, 1, 1)
-    rows = [(i, t0 + dt.timedelta(hours=i), i % 2, "view", float(i), None) for i in range(30)]
-    df = spark.createDataFrame(rows, streaming.EVENTS)
-    df.where("event_id < 15").coalesce(1).write.mode("append").parquet(path)
-    df.where("event_id >= 15").coalesce(1).write.mode("append").parquet(path)
-    return path
 
+def put(spark, rows, path):
+    spark.createDataFrame(rows, streaming.EVENTS).coalesce(1).write.mode("append").parquet(str(path))
 
-def test_carry_forward_crosses_batches(spark, folder):
-    e = streaming.read_events(spark, folder, 1, "*.parquet").withColumn("obs", F.when(F.col("event_id") % 6 < 2, F.col("value")))
-    got = {r.event_id: r.imputed for r in streaming.run_to_table(streaming.carry_forward(e), "carried").collect()}
-    assert len(got) == 30 and got[4] == 0.0 and got[5] == 1.0 and got[17] == 13.0
 
+def hourly(ids):
+    return [(i, T0 + dt.timedelta(hours=i), i % 2, "view", float(i), None) for i in ids]
 
-def test_windows(spark, folder):
-    t = streaming.run_to_table(streaming.windowed_summary(streaming.read_events(spark, folder, glob="*.parquet")), "days", "complete")
-    assert sorted((r.n, r.mean) for r in t.collect()) == [(6, 26.5), (24, 11.5)]
+
+def test_carry_forward_goes_on_from_its_checkpoint(spark, tmp_path):
+    src, out, mark = tmp_path / "in", f"{tmp_path}/out", f"{tmp_path}/mark"
+
+    def run():
+        e = streaming.read_events(spark, str(src), glob="*.parquet").withColumn("obs", F.when(F.col("event_id") % 6 < 2, F.col("value")))
+        return streaming.run_to_files(streaming.carry_forward(e, late=5 * 3600), out, mark, partition_by=("late",))
+
+    put(spark, hourly(range(15)), src)
+    assert run().count() == 15
+    put(spark, [*hourly(range(15, 30)), (100, T0, 0, "view", 7.0, None), (102, T0, 1, "view", None, None), (101, None, 1, "view", 1.0, None)], src)
+    before = spark.conf.get(streaming.STORE)
+    got = {r.event_id: r for r in run().collect()}
+    assert spark.conf.get(streaming.STORE) == before
+    assert len(got) == 32 and got[4].imputed == 0.0 and got[5].imputed == 1.0 and got[17].imputed == 13.0
+    assert {i for i, r in got.items() if r.late} == {100, 102} and got[100].imputed is None and got[102].imputed is None
+    once = sorted(map(tuple, got.values()))
+    assert sorted(map(tuple, run().collect())) == once  # nothing new
+    assert sorted(p.name for p in (tmp_path / "out").iterdir() if p.name.startswith("late")) == ["late=false", "late=true"]
+
+
+def test_windows_replace_their_files(spark, tmp_path):
+    src = tmp_path / "in"
+    run = lambda: streaming.run_to_files(streaming.windowed_summary(streaming.read_events(spark, str(src), glob="*.parquet")), f"{tmp_path}/out", f"{tmp_path}/mark", "complete")
+    put(spark, hourly(range(20)), src)
+    assert sorted((r.n, r.mean) for r in run().collect()) == [(20, 9.5)]
+    put(spark, hourly(range(20, 30)), src)
+    assert sorted((r.n, r.mean) for r in run().collect()) == [(6, 26.5), (24, 11.5)]
+
+
+def test_gap_alarms_by_rows_and_by_timers(spark, tmp_path):
+    src, out, mark = tmp_path / "in", f"{tmp_path}/out", f"{tmp_path}/mark"
+
+    def run():
+        t = streaming.run_to_files(streaming.gap_alarms(streaming.read_events(spark, str(src), glob="*.parquet"), 10 * 3600, "1 hour"), out, mark)
+        return sorted(((r.user_id, r.start.hour, r.end and r.end.hour) for r in t.collect()), key=str)
+
+    put(spark, [(1, T0, 1, "view", 1.0, None), (2, T0 + dt.timedelta(hours=12), 1, "view", 1.0, None), (3, T0 + dt.timedelta(hours=1), 2, "view", 1.0, None), (4, None, 2, "view", 1.0, None)], src)
+    # the second user's silence of ten hours ends as an alarm when the watermark, an hour behind 12:00, has passed 11:00
+    assert run() == [(1, 0, 12), (2, 1, None)]
+    put(spark, [(5, T0 + dt.timedelta(hours=15), 1, "view", 1.0, None), (6, T0 + dt.timedelta(hours=16), 2, "view", 1.0, None)], src)
+    assert run() == [(1, 0, 12), (2, 1, None)]
+    put(spark, [(7, T0 + dt.timedelta(hours=40), 3, "view", 1.0, None)], src)
+    assert run() == [(1, 0, 12), (1, 15, None), (2, 1, None), (2, 16, None)]
 
 
 def test_forest_round_trip(spark, tmp_path):
