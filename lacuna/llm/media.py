@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from .common import table
 
-BLOCK, TILE = 64, 16
+BLOCK, TILE, WHOLE = 64, 16, 1 << 18
 _TOKEN = re.compile(rb"(?:\s|#[^\n]*\n)*([^\s#]+)")
 
 
@@ -126,21 +126,24 @@ def area_resize(image: np.ndarray, height: int, width: int) -> np.ndarray:
     """Means over the exact areas (fractions of pixels included) of a height x width grid: the integral
     image is read between its points by linear interpolation, which is exact for areas.
 
-    Only the rows of the integral image that the grid touches are kept; pixels become floats a block of rows at a time.
+    Of images of more than ``WHOLE`` pixels only the rows of the integral image that the grid touches are kept; pixels become floats a block of rows at a time.
     """
     h, w = image.shape[:2]
     ys, xs = np.linspace(0, h, height + 1), np.linspace(0, w, width + 1)
     y0, x0 = np.minimum(ys.astype(int), h - 1), np.minimum(xs.astype(int), w - 1)
-    rows = np.unique([y0, y0 + 1])
-    kept, so_far, done = np.zeros((len(rows), w + 1)), np.zeros(w), 0
-    step = max(1, (1 << 18) // w)
-    for k, row in enumerate(rows):
-        while done < row:
-            end = min(row, done + step)
-            so_far += luma(image[done:end]).sum(axis=0)
-            done = end
-        np.cumsum(so_far, out=kept[k, 1:])
-    low, high = np.searchsorted(rows, y0), np.searchsorted(rows, y0 + 1)
+    if h * w <= WHOLE:
+        kept, low, high = np.zeros((h + 1, w + 1)), y0, y0 + 1
+        np.cumsum(np.cumsum(luma(image), axis=0), axis=1, out=kept[1:, 1:])
+    else:
+        rows = np.unique([y0, y0 + 1])
+        kept, so_far, done, step = np.zeros((len(rows), w + 1)), np.zeros(w), 0, max(1, WHOLE // w)
+        for k, row in enumerate(rows):
+            while done < row:
+                end = min(row, done + step)
+                so_far += luma(image[done:end]).sum(axis=0)
+                done = end
+            np.cumsum(so_far, out=kept[k, 1:])
+        low, high = np.searchsorted(rows, y0), np.searchsorted(rows, y0 + 1)
     fy, fx = (ys - y0)[:, None], (xs - x0)[None, :]
     at_y = kept[low] * (1 - fy) + kept[high] * fy
     at = at_y[:, x0] * (1 - fx) + at_y[:, x0 + 1] * fx
