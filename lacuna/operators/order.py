@@ -56,9 +56,9 @@ def ranked_values(df: DataFrame, by: Sequence[str], order: Sequence[str], sums:
     return out.select(*by, *order, *(sums or {}), "ties", (F.col("rank") + F.col("_before")).alias("rank"), "n")
 
 
-def with_ranks(df: DataFrame, by: Sequence[str], order: Sequence[str], **options) -> DataFrame:
-    """``df`` plus ``ties``, ``rank`` (of the first equal row) and ``n``. A value that many rows share is one row on the other side of the join, which adaptive execution splits."""
-    return joined(df, ranked_values(df, by, order, **options), [*by, *order])
+def with_ranks(df: DataFrame, by: Sequence[str], order: Sequence[str], names: Sequence[str] = ("ties", "rank", "n"), **options) -> DataFrame:
+    """``df`` plus ``ties``, ``rank`` (of the first equal row) and ``n``, under other ``names`` where ``df`` has such columns. A value that many rows share is one row on the other side of the join, which adaptive execution splits."""
+    return joined(df, ranked_values(df, by, order, **options).withColumnsRenamed(dict(zip(("ties", "rank", "n"), names))), [*by, *order])
 
 
 def _first_at(value: Column, index: Column) -> Column:

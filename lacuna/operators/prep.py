@@ -92,6 +92,7 @@ def truncate(df: DataFrame, n: int, strategy: str = "first", compat: bool = Fals
     return x.where(keep).select(*df.columns)
 
 
+OWN = ("_ties", "_rank", "_n")
 #: Prime range of the hash that orders rows of a class.
 HASH_RANGE = 1000003
 
@@ -101,30 +102,30 @@ def _hashed(df: DataFrame, id_col: str) -> DataFrame:
 
 
 def _by_hash(df: DataFrame, label: str, id_col: str) -> DataFrame:
-    """``df`` plus ``rank``, ``ties`` and ``n`` of its rows in their class by a hash of the id: hash ranges bound a task, whatever the class."""
-    return ordering.with_ranks(_hashed(df, id_col), [label], ["_h", id_col], span=(0, HASH_RANGE))
+    """``df`` plus ``_rank``, ``_ties`` and ``_n`` of its rows in their class by a hash of the id: hash ranges bound a task, whatever the class."""
+    return ordering.with_ranks(_hashed(df, id_col), [label], ["_h", id_col], OWN, span=(0, HASH_RANGE))
 
 
 def sample_per_class(df: DataFrame, k: int, label: str = "label", id_col: str = "event_id") -> DataFrame:
     """At most ``k`` rows a class, by a hash of the id. Rows of one id are taken while all of them fit, so a class of few ids may give fewer."""
-    return _by_hash(df, label, id_col).where(F.col("rank") + F.col("ties") - 1 <= k).select(*df.columns)
+    return _by_hash(df, label, id_col).where(F.col("_rank") + F.col("_ties") - 1 <= k).select(*df.columns)
 
 
 def stratified_split(df: DataFrame, test_share: float = 0.3, label: str = "label", id_col: str = "event_id") -> DataFrame:
     """Adds ``is_test``: the same share of every class, by a hash of the id. Rows of one id are never torn apart: they go where the first of them goes."""
     x = _by_hash(df, label, id_col)
-    return x.select(*df.columns, (F.col("rank") <= F.floor(F.col("n") * F.lit(test_share))).alias("is_test"))
+    return x.select(*df.columns, (F.col("_rank") <= F.floor(F.col("_n") * F.lit(test_share))).alias("is_test"))
 
 
 def split(df: DataFrame, shares: dict[str, float], label: Sequence[str], id_col: str) -> DataFrame:
     """Adds ``split``, one of the names of ``shares`` (which add up to 1), each in its share of every class. ``id_col`` holds evenly spread
     whole numbers under 2^60, such as digests; equal ones stay together."""
-    x = ordering.with_ranks(df, label, [id_col], span=(0, 1 << 60))
+    x = ordering.with_ranks(df, label, [id_col], OWN, span=(0, 1 << 60))
     done, names = 0.0, list(shares)
     out: Column = F.lit(None).cast("string")
     for name in names:
         done += shares[name]
-        mine = F.lit(True) if name == names[-1] else F.col("rank") <= F.floor(F.col("n") * F.lit(round(done, 9)))
+        mine = F.lit(True) if name == names[-1] else F.col("_rank") <= F.floor(F.col("_n") * F.lit(round(done, 9)))
         out = F.coalesce(out, F.when(mine, F.lit(name)))
     return x.select(*df.columns, out.alias("split"))
 

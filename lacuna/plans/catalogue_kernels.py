@@ -110,8 +110,27 @@ def clf_rf(spark, d):
 
 @query("clf_svm")
 def clf_svm(spark, d):
-    model, x = classify.train_svm(_features(spark, d), NAMES, n=16)
-    return model.transform(x).select("series_id", "label", "prediction")
+    x = _features(spark, d)
+    return classify.train_svm(x, NAMES, n=16).transform(x).select("series_id", "label", "prediction")
+
+
+SHAPES = ("flux_mean", "flux_std", "flux_skewness", "flux_kurtosis", "flux_mad", "stetson_k", "eta_index", "r_cs", "f_5_95", "f_25_75", "acf_lag1", "acf_lag2", "flux_range", "flux_median", "slope_ratio")
+
+
+def _documents(spark, d) -> DataFrame:
+    """Documents as series of word lengths, with their shape features and the quality label they have."""
+    docs, labels = (spark.read.parquet(f"{d}/{t}.parquet") for t in ("documents", "labels"))
+    known = docs.join(labels.where("quality IS NOT NULL").select("doc_id", F.col("quality").cast("double").alias("label")), "doc_id")
+    words = known.select(F.col("doc_id").alias("series_id"), "label", F.posexplode(F.split("text", r"\s+")).alias("event_id", "word"))
+    series = words.select("series_id", "label", "event_id", F.col("event_id").cast("double").alias("t"), F.length("word").cast("double").alias("flux"))
+    return ft.shape_features(series, ("series_id", "label"))
+
+
+@query("clf_rf_folds")
+def clf_rf_folds(spark, d):
+    """Five stratified folds of a forest that tells good documents from bad ones by the shape of their word lengths."""
+    fit = lambda x: classify.train_forest(x, SHAPES, trees=100, depth=12, folds=0)[0]
+    return classify.cross_validated(_documents(spark, d), fit)
 
 
 @query("clf_importance")

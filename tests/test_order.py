@@ -53,7 +53,7 @@ def test_quantiles_trimmed_means_and_boxes(values, options):
 
 def test_splits_keep_shares_and_ids_together(spark):
     ids = [i for i in range(400)] + [17] * 200
-    df = spark.createDataFrame([(i % 3 if i % 50 else None, i) for i in ids], "label int, event_id long").repartition(3)
+    df = spark.createDataFrame([(i % 3 if i % 50 else None, i, 0, 0) for i in ids], "label int, event_id long, n int, rank int").repartition(3)
     got = prep.stratified_split(df, 0.3).collect()
     assert len(got) == len(ids)
     assert all(len({r.is_test for r in got if r.event_id == i}) == 1 for i in set(ids))

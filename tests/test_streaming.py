@@ -73,3 +73,27 @@ def test_forest_round_trip(spark, tmp_path):
     s = classify.scores(again).first()
     assert s.accuracy > 0.95 and s.macro_f1 > 0.95 and s.mcc > 0.9
     assert classify.importance(model, ["x", "z"])[0][0] == "x"
+
+
+def test_rbf_machine_scores_unseen_rows_after_a_reload(spark, tmp_path):
+    """Rings can't be told apart by a line; the frozen machine scales new rows by what it was fitted on."""
+    import math
+    import random
+
+    rng = random.Random(4)
+
+    def ring(i):
+        r, a = (1.0 if i % 2 else 3.0) + rng.gauss(0, 0.15), rng.uniform(0, 2 * math.pi)
+        return i, float(i % 2), 100 + 10 * r * math.cos(a), r * math.sin(a), 5.0
+
+    rows = [ring(i) for i in range(400)] + [(1000, 1.0, None, 0.1, None)]
+    df = spark.createDataFrame(rows, "series_id long, label double, x double, y double, flat double")
+    classify.train_svm(df.where("series_id < 300 OR series_id = 1000"), ["x", "y", "flat"], n=128, path=str(tmp_path / "m"))
+    machine = classify.load_classifier(str(tmp_path / "m"))
+    unseen = df.where("series_id BETWEEN 300 AND 399")
+    assert classify.scores(machine.transform(unseen)).first().accuracy > 0.9
+    one = machine.transform(unseen.where("series_id = 311")).first()  # alone it is scaled as among others
+    assert one.prediction == next(r for r in machine.transform(unseen).collect() if r.series_id == 311).prediction
+    assert machine.transform(df.where("series_id = 1000")).count() == 1
+    folds = classify.cross_validated(df.where("series_id < 200"), lambda x: classify.train_svm(x, ["x", "y"], n=64), folds=3).collect()
+    assert [r.fold for r in folds] == [0, 1, 2] and min(r.accuracy for r in folds) > 0.8
