@@ -88,7 +88,9 @@ def _dealt(df: DataFrame, grid: DataFrame, keys: Sequence[str], t: str, value: s
     first = F.col("_b") * F.lit(BLOCK)
     g = g.select(*keys, "t0", "_b", (F.col("fmin") + first * F.col("df")).alias("_low"), F.col("df").alias("_step"), F.least(F.lit(BLOCK), F.col("nf") - first).cast("int").alias("_m"), first.cast("long").alias("_first"), F.col("nf").cast("long").alias("_nf"), *extra)
     samples = df.where(F.col(value).isNotNull() & F.col(t).isNotNull()).select(*keys, F.col(t).cast("double").alias("_time"), F.col(value).cast("double").alias("_y"))
-    return samples.join(g, list(keys)).withColumn("_t", F.col("_time") - F.col("t0")).drop("_time", "t0")
+    # a number of partitions of its own: blocks cost far more than their bytes suggest, so small partitions must not be merged
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return samples.join(g, list(keys)).withColumn("_t", F.col("_time") - F.col("t0")).drop("_time", "t0").repartition(n, *keys, "_b")
 
 
 def _spectrum(frames: Iterator[pd.DataFrame]) -> tuple[pd.Series | None, np.ndarray, np.ndarray]:
