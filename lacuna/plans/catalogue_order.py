@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import metrics
 from ..operators import order as ordering
 from ..operators.asof import asof_join
 from ..sources import series as src
@@ -77,3 +78,13 @@ def flux_quantiles(spark, d):
 @query("flux_ranks", f"WITH {o.ES} SELECT event_id, rank() OVER (PARTITION BY label ORDER BY flux) AS rank, count(*) OVER (PARTITION BY label, flux) AS ties, count(*) OVER (PARTITION BY label) AS n FROM es")
 def flux_ranks(spark, d):
     return ordering.with_ranks(src.events_series(spark, d).select("event_id", "label", "flux"), ["label"], ["flux"]).select("event_id", "rank", "ties", "n")
+
+
+@query("flux_density", f"""WITH {o.ES}, h AS (SELECT label, least(floor(flux / 1.0), 99)::INTEGER AS b, count(*) AS n FROM es WHERE flux BETWEEN 0 AND 100 GROUP BY ALL),
+t AS (SELECT label, sum(n) AS total FROM h GROUP BY label),
+d AS (SELECT label, k AS bin, sum(CASE WHEN k = b THEN n ELSE 0 END) AS n, sum(n * exp(-pow((k - b) / 2.0, 2) / 2) / (2 * sqrt(2 * pi()))) AS d FROM h, unnest(range(greatest(0, b - 8), least(99, b + 8) + 1)) AS u(k) GROUP BY ALL)
+SELECT label, bin::INTEGER AS bin, bin + 0.5::DOUBLE AS x, n::BIGINT AS n, {q('d / total', 8)} AS density FROM d JOIN t USING (label)""")
+def flux_density(spark, d):
+    """The curves of a violin plot of the flux by class."""
+    x = metrics.density(src.events_series(spark, d), "flux", 0.0, 100.0, 100, 2.0, ("label",))
+    return x.withColumn("density", r("density", 8))

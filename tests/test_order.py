@@ -122,3 +122,17 @@ def test_asof_join_edges(spark, sides):
     times = spark.sql("SELECT timestamp'2024-01-01 00:00:10' AS a, 1 AS x")
     other = spark.sql("SELECT timestamp'2024-01-01 00:00:00' AS b, 2 AS y")
     assert asof.asof_join(times, other, "a", "b", tolerance=10).first().y == 2 and asof.asof_join(times, other, "a", "b", tolerance=9.5).first().y is None
+
+
+def test_density_is_the_kernel_sum_of_binned_values(spark):
+    rng = random.Random(8)
+    rows = [("a", rng.gauss(5, 1)) for _ in range(500)] + [("b", 2.0)] * 7 + [("b", None), ("b", 99.0)]
+    got = {(r.g, r.bin): r for r in metrics.density(spark.createDataFrame(rows, "g string, v double"), "v", 0.0, 10.0, 50, 0.5, ("g",)).collect()}
+    middle = lambda v: (min(49, math.floor(v / 0.2)) + 0.5) * 0.2
+    for g in "ab":
+        x = [middle(v) for k, v in rows if k == g and v is not None and v <= 10]
+        for (k, b), r in got.items():
+            if k == g:
+                near = [c for c in x if abs(c - r.x) <= 4 * 0.5 + 1e-9]
+                assert r.density == pytest.approx(sum(math.exp(-((c - r.x) / 0.5) ** 2 / 2) for c in near) / (len(x) * 0.5 * math.sqrt(2 * math.pi)))
+        assert sum(r.n for (k, _), r in got.items() if k == g) == len(x) and sum(r.density * 0.2 for (k, _), r in got.items() if k == g) == pytest.approx(1, abs=0.01)
