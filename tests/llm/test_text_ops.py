@@ -3,6 +3,7 @@
 import hashlib
 import math
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -307,6 +308,68 @@ def test_sanitising_rows_without_or_with_repeated_ids(spark):
     assert Counter((r.doc_id, r.text) for r in got) == Counter([(None, "mail <EMAIL> or"), (None, "no data"), (7, "x <PHONE>"), (7, "at <IP> now, <EMAIL>"), (7, None)])
 
 
+def test_terms_reveal_from_anywhere_in_a_text(spark):
+    far = lambda i: f"contact Zorblatt for details about the delivery schedule of goods here: zq@corp.example.com thanks {prose(i, 30)} Zorblatt, again"
+    rows = [(i, far(i), "", "", 0) for i in range(6)] + [(10 + i, f"again: details about the delivery schedule of goods for us here thanks, contact {prose(70 + i, 30)}", "", "", 0) for i in range(600)]
+    copies = [(900 + i, f"one text many times by Quibble at copy@same.example.com {prose(5, 20)}", "", "", 0) for i in range(5)]
+    frame = spark.createDataFrame(rows + copies, SCHEMA)
+    got = {r.doc_id: r for r in pii.with_terms(frame, pii.detect(frame)).collect()}
+    for i in range(6):
+        assert [t.m for t in got[i].terms] == ["zorblatt", "zorblatt"] and all(rows[i][1][t.s:t.e] == "Zorblatt" for t in got[i].terms)
+    assert not any(got[r[0]].terms for r in rows[6:])
+    assert not any(got[r[0]].terms for r in copies)  # copies of one text are no evidence
+    clean = {r.doc_id: r.text for r in pii.sanitise(frame, remove_bits=6.0).collect()}
+    assert clean[0].startswith("contact  for details") and "<EMAIL> thanks" in clean[0] and "orblatt" not in clean[0]
+
+
+def test_disclosures_against_brute_force(spark):
+    rng = np.random.default_rng(3)
+    people = [(f"P{i}x", f"{'abcdefgh'[i]}.x@mail.example.com") for i in range(8)]
+    rows = []
+    for i in range(700):
+        words = prose(1000 + i, 15).split()
+        for name, mail in people:
+            if rng.random() < 0.012:
+                words.insert(int(rng.integers(0, len(words))), mail)
+                words += [name] * int(rng.random() < 0.7)
+            elif rng.random() < 0.004:
+                words.append(name)
+        rows.append((i, " ".join(words), "", "", 0))
+    frame = spark.createDataFrame(rows, SCHEMA)
+    found = pii.detect(frame)
+    limits = dict(posterior=0.4, bits=5.0, support=2)
+    got = {(r.row_id, r.term): r.gain for r in pii.disclosures(frame, found, **limits).join(found.select("row", "doc_id"), "row").selectExpr("doc_id AS row_id", "term", "gain").collect()}
+    sets = {i: {w.lower() for w in t.split()} for i, t, *_ in rows}
+    holds = {m: {i for i, s in sets.items() if m in s} for _, m in people}
+    with_term = {}
+    for i, s in sets.items():
+        for w in s:
+            with_term.setdefault(w, set()).add(i)
+    best = {}
+    for mail, e in holds.items():
+        for w, t in with_term.items():
+            n = len(e & t)
+            if n >= 2 and n / len(t) >= 0.4 and math.log2(n / len(t) * len(rows) / len(e)) >= 5.0:
+                for i in e & t:
+                    best[i, w] = max(best.get((i, w), 0.0), math.log2(n / len(t) * len(rows) / len(e)))
+    hashed = {r.w: r.h for r in spark.createDataFrame([(w,) for w in with_term], "w string").select("w", F.xxhash64("w").alias("h")).collect()}
+    assert len(best) > 20 and got == {(i, hashed[w]): pytest.approx(g) for (i, w), g in best.items()}
+
+
+def test_many_spans_in_one_text(spark):
+    n = 100_000
+    text = " ".join(f"é{i} a{i}@x.example" for i in range(n))
+    frame = spark.createDataFrame([(1, text, "", "", 0), (2, "x" * 9000 + " b@c.example " + "y" * 5000, "", "", 0)], SCHEMA)
+    start = time.perf_counter()
+    spans = {r.doc_id: r.spans for r in pii.detect(frame).collect()}
+    assert time.perf_counter() - start < 30 and len(spans[1]) == n
+    assert all(text[x.s:x.e] == x.m for x in spans[1][:: n // 50])
+    clean = {r.doc_id: r.text for r in pii.sanitise(frame).collect()}
+    assert clean[1] == " ".join(f"é{i} <EMAIL>" for i in range(n)) and clean[2] == "x" * 9000 + " <EMAIL> " + "y" * 5000
+    over = spark.createDataFrame([(1, "card 4111 1111 1111 1111, +4111 1111 1111 111 x", "", "", 0)], SCHEMA)  # overlapping spans are one
+    assert re.fullmatch(r"card <CARD>, <(PHONE|CARD)> x", pii.sanitise(over).first().text)
+
+
 # ------------------------------------------------------------------ LM
 def test_lm_base_scores_and_held_out_gain(docs, empty):
     rows = fixture_rows()
