@@ -111,6 +111,14 @@ def summarise(raw: DataFrame, by: Sequence[str] = ("method", "fraction"), metric
     return raw.groupBy(*by).agg(*aggs)
 
 
+def costs(imputed: DataFrame, run: Sequence[str], by: Sequence[str] = ("method",)) -> DataFrame:
+    """``(*by, n_runs, n_failed, runtime_mean, runtime_max, memory_peak)`` of imputed rows; a run is one series with its gaps, counted once. Null where a method has no
+    run of its own (window methods)."""
+    runs = imputed.groupBy(*by, *run).agg(F.max("runtime_s").alias("runtime_s"), F.max("memory_mb").alias("memory_mb"), F.max(F.col("failed").cast("int")).alias("failed"))
+    return runs.groupBy(*by).agg(
+        F.count(F.lit(1)).alias("n_runs"), F.sum("failed").alias("n_failed"), F.avg("runtime_s").alias("runtime_mean"), F.max("runtime_s").alias("runtime_max"), F.max("memory_mb").alias("memory_peak"))
+
+
 def summarise_cube(raw: DataFrame, by: Sequence[str] = ("method", "fraction"), metrics: Sequence[str] = METRICS, rollup: bool = False) -> DataFrame:
     """``summarise`` over every subset of ``by`` (``rollup``: its prefixes) in one pass: rows multiply map-side, before the combine. ``level`` is the grouping
     number: a bit per name, the last one lowest, set where the name is summed over; it tells such a null from one among the data."""

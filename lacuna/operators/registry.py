@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import resource
 import time
+import warnings
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field
 
@@ -47,6 +49,8 @@ _METHODS = [
     _m("saits", "SAITS", kernel=kernels.saits, params="d_model n_heads n_layers epochs lr diagonal_mask"),
 ]
 REGISTRY: dict[str, Method] = {m.key: m for m in _METHODS}
+#: Parameter names that configurations may use.
+ALIASES = {"n_restarts": "restarts"}
 
 
 def list_imputers() -> list[str]:
@@ -80,6 +84,7 @@ def _kernel_run(method: Method, keys: Sequence[str], order: Sequence[str], optio
         if failed:
             out = np.where(gone, np.nanmean(y) if (~gone).any() else np.nan, y)
         frame["imputed"], frame["failed"], frame["runtime_s"] = out, failed, time.perf_counter() - start
+        frame["memory_mb"] = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss / 1024
         return frame
 
     return run
@@ -95,15 +100,19 @@ def impute(df: DataFrame, key: str, params: Mapping | None = None, keys: Sequenc
     """``df`` plus ``method_key, method, imputed, failed, runtime_s, memory_mb``; observed values stay as they are.
 
     A kernel that fails on a series fills it with its mean and says so in ``failed``. Window methods share a plan with all series, so their
-    run time is NULL. Kernels use a ``period`` column if there is one (1.0 otherwise).
+    run time and memory are NULL. ``memory_mb`` is the peak resident memory of the Python worker up to the end of the series, so it never falls
+    within a worker. Kernels use a ``period`` column if there is one (1.0 otherwise). Parameters that the method doesn't have are dropped with a warning.
     """
     method = get_imputer(key)
-    options = {k: v for k, v in (params or {}).items() if k in method.params}
-    tag = {"method_key": F.lit(method.key), "method": F.lit(method.name), "memory_mb": F.lit(None).cast("double")}
+    given = {ALIASES.get(k, k): v for k, v in (params or {}).items()}
+    options = {k: v for k, v in given.items() if k in method.params}
+    if len(options) < len(given):
+        warnings.warn(f"{method.key} takes no {', '.join(sorted(given.keys() - options.keys()))}", stacklevel=2)
+    tag = {"method_key": F.lit(method.key), "method": F.lit(method.name)}
     if method.plan:
         out = method.plan(df, keys, order, **options)
-        return out.withColumns(tag | {"failed": F.lit(False), "runtime_s": F.lit(None).cast("double")})
-    schema = df.withColumns({"imputed": F.lit(0.0), "failed": F.lit(False), "runtime_s": F.lit(0.0)}).schema
+        return out.withColumns(tag | {"failed": F.lit(False), "runtime_s": F.lit(None).cast("double"), "memory_mb": F.lit(None).cast("double")})
+    schema = df.withColumns({"imputed": F.lit(0.0), "failed": F.lit(False), "runtime_s": F.lit(0.0), "memory_mb": F.lit(0.0)}).schema
     run = _kernel_run(method, keys, order, options, "period" in df.columns)
     return _dealt(df, keys).groupBy(*keys).applyInPandas(run, schema).withColumns(tag)
 

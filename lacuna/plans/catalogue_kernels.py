@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -53,6 +55,14 @@ def impute_gp_var(spark, d):
     return x.where("is_missing").select("series_id", "event_id", r("imputed").alias("imputed"), r("variance").alias("variance"))
 
 
+@query("imputer_costs")
+def imputer_costs(spark, d):
+    """Runs, failures, run time and peak memory of imputers side by side; the figures differ from run to run."""
+    x = gapped30(spark, d)
+    each = [registry.impute(x, key, LIGHT.get(key, {})).select("method", "series_id", "failed", "runtime_s", "memory_mb") for key in ("linear_interp", "spline_interp", "mf_impute")]
+    return metrics.costs(reduce(DataFrame.unionByName, each), ("series_id",))
+
+
 @query("impute_mf_als")
 def impute_mf_als(spark, d):
     return registry.hankel_als(gapped30(spark, d)).select("series_id", "idx", r("value", 4).alias("value"))

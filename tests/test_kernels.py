@@ -2,9 +2,10 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from lacuna.functions import special
-from lacuna.operators import gaps, kernels, registry
+from lacuna.operators import gaps, kernels, metrics, registry
 from lacuna.sources.config import make_seed_sequence, merge_configs
 
 T = np.sort(np.random.default_rng(0).uniform(0, 10, 120))
@@ -134,3 +135,17 @@ def test_adversarial_hint_is_the_mask_or_a_half(monkeypatch):
     kernels.gain_impute(T, y, gone, 1.0, np.random.default_rng(0), epochs=3)
     assert hints and all(set(np.unique(h)) <= {0.0, 0.5, 1.0} for h in hints)
     assert all(np.isin(h, (0.5,)).sum() < len(h) / 2 and (h[gone] != 1).all() and (h[~gone] != 0).all() for h in hints)
+
+
+def test_run_costs_and_parameter_names(spark):
+    rows = [(s, float(i), None if i % 5 == 2 else float(np.sin(i / 3 + s))) for s in range(3) for i in range(40)]
+    df = spark.createDataFrame(rows, "series_id long, t double, obs double").withColumn("is_missing", F.col("obs").isNull())
+    kernel = registry.impute(df, "spline_interp", keys=("series_id",), order=("t",))
+    window = registry.impute(df, "linear_interp", keys=("series_id",), order=("t",))
+    both = kernel.select("method", "series_id", "failed", "runtime_s", "memory_mb").unionByName(window.select("method", "series_id", "failed", "runtime_s", "memory_mb"))
+    got = {r.method: r for r in metrics.costs(both, ("series_id",)).collect()}
+    cost = got["Spline-Interp"]
+    assert cost.n_runs == 3 and cost.n_failed == 0 and 10 < cost.memory_peak < 10_000 and 0 < cost.runtime_mean <= cost.runtime_max
+    assert got["Linear-Interp"].n_runs == 3 and got["Linear-Interp"].memory_peak is None
+    with pytest.warns(UserWarning, match="takes no depth"):
+        registry.impute(df, "gp_matern", {"depth": 3, "n_restarts": 1}, ("series_id",), ("t",))
