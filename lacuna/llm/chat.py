@@ -12,9 +12,14 @@ ASSISTANT, USER, END = "<|assistant|>\n", "<|user|>", "<|end|>\n"
 BLOCK = 64
 
 
+def escaped(text: Column) -> Column:
+    """A backslash goes between ``<`` and a bar or backslash, so that no text holds a mark; taking it out again gives the text."""
+    return F.regexp_replace(text, r"<([|\\])", r"<\\$1")
+
+
 def header(speaker: Column, view: Column) -> Column:
     """The viewer's own turns are the assistant's; all others are users under their names."""
-    return F.when(speaker.eqNullSafe(view), F.lit(ASSISTANT)).otherwise(F.concat(F.lit(USER), F.coalesce(speaker, F.lit("unknown")), F.lit("\n")))
+    return F.when(speaker.eqNullSafe(view), F.lit(ASSISTANT)).otherwise(F.concat(F.lit(USER), escaped(F.regexp_replace(F.coalesce(speaker, F.lit("unknown")), r"[\r\n]+", " ")), F.lit("\n")))
 
 
 def rotate(turns: DataFrame, block: int = BLOCK) -> DataFrame:
@@ -25,6 +30,8 @@ def rotate(turns: DataFrame, block: int = BLOCK) -> DataFrame:
     ``position`` are the rendered dialogue, and code points [mask_start, mask_end) of it carry loss: the viewer's own
     words and end marks, nothing of others (there the two are equal).
 
+    Marks inside a turn's text, or a speaker's name, are escaped (see ``escaped``), and line breaks of a name are blanks: no turn can forge another.
+
     Turns are ordered by number, then speaker, then text (nulls first); equal rows stay, in any order among themselves. A null
     role is a participant, called unknown; a null text is empty. Conversations are never gathered in one row: offsets come from
     sums within blocks of turn numbers and then over blocks, so a conversation with a third of all rows is
@@ -32,7 +39,7 @@ def rotate(turns: DataFrame, block: int = BLOCK) -> DataFrame:
     """
     t = turns.select(
         F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.col("role").cast("string").alias("speaker"),
-        F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+        escaped(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("text"))
     views = t.select(F.col("conv_id").alias("c2"), F.col("speaker").alias("view")).distinct()
     seen = t.join(views, F.col("conv_id").eqNullSafe(F.col("c2"))).drop("c2")
     segment = F.concat(header(F.col("speaker"), F.col("view")), F.col("text"), F.lit(END))
@@ -59,10 +66,14 @@ def op6_chat_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def oracle_chat_rotation() -> str:
+    def mark(x: str) -> str:
+        return rf"regexp_replace({x}, '<([|\\])', '<\\\1', 'g')"
+
+    empty, name = "coalesce(text, '')", r"regexp_replace(coalesce(role, 'unknown'), '[\r\n]+', ' ', 'g')"
     return f"""
-WITH t AS (SELECT conv_id, turn, role, coalesce(text, '') AS text FROM conversations),
+WITH t AS (SELECT conv_id, turn, role, {mark(empty)} AS text FROM conversations),
 v AS (SELECT DISTINCT conv_id, role AS view FROM t),
-s AS (SELECT t.*, v.view, CASE WHEN role IS NOT DISTINCT FROM view THEN '{ASSISTANT}' ELSE '{USER}' || coalesce(role, 'unknown') || chr(10) END AS head
+s AS (SELECT t.*, v.view, CASE WHEN role IS NOT DISTINCT FROM view THEN '{ASSISTANT}' ELSE '{USER}' || {mark(name)} || chr(10) END AS head
       FROM t JOIN v ON t.conv_id IS NOT DISTINCT FROM v.conv_id),
 r AS (SELECT *, head || text || '{END}' AS segment FROM s),
 o AS (SELECT *, row_number() OVER w - 1 AS position, coalesce(sum(length(segment)) OVER (PARTITION BY conv_id, view
