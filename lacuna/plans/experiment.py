@@ -17,11 +17,12 @@ FRACTIONS = (0.1, 0.3, 0.5)
 
 
 def native_methods(gapped: DataFrame) -> DataFrame:
-    """``(method, *keys, t, event_id, is_missing, truth, imputed)`` of the three window imputers, from one exchange and one
-    sort: each adds a column, and one generator turns the columns into rows."""
-    x = impute.mean_fill(gapped).withColumnRenamed("imputed", "m")
+    """``(method, *keys, t, event_id, is_missing, truth, imputed)`` of the three window imputers, from one exchange,
+    dealt by the number of rows: each adds a column, and one generator turns the columns into rows."""
+    x = impute.dealt(gapped.select("series_id", "fraction", "t", "event_id", "is_missing", "obs", "truth"))
     x = impute.forward_fill(x).withColumnRenamed("imputed", "f")
     x = impute.linear(x).withColumnRenamed("imputed", "l")
+    x = impute.mean_fill(x).withColumnRenamed("imputed", "m")  # last: any order of a series will do
     rows = F.explode(F.array(*[F.struct(F.lit(n).alias("method"), F.col(c).alias("imputed")) for n, c in (("Mean-Fill", "m"), ("Forward-Fill", "f"), ("Linear-Interp", "l"))]))
     return x.select("series_id", "fraction", "t", "event_id", "is_missing", "truth", rows.alias("x")).select("x.method", "series_id", "fraction", "t", "event_id", "is_missing", "truth", "x.imputed")
 

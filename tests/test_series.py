@@ -241,3 +241,17 @@ def test_knn_index_on_a_long_smooth_series_meets_few_pairs(spark):
     found = impute._nearest(impute._indexed_pairs(targets, donors, 5, impute.KEYS), 1, impute.KEYS).collect()
     got = {r._i: r.d for r in found}
     assert len(got) == targets.count() > 1500 and all(got[i] == want[i] for i in want) and len(want) > 20
+
+
+def test_window_imputers_are_dealt_by_rows_and_sorted_once_an_order(spark, monkeypatch):
+    rows = [(s, p, i, float(i), (i + s) % 3 == 0, None if (i + s) % 3 == 0 else float(i * s), float(i * s)) for s in range(40) for p in (0.1, 0.3) for i in range(10)]
+    df = spark.createDataFrame(rows, "series_id long, fraction double, event_id long, t double, is_missing boolean, obs double, truth double")
+    monkeypatch.setattr(impute, "TASK_ROWS", 50)
+    assert impute.dealt(df).select(F.spark_partition_id()).distinct().count() > 8  # 800 rows: 16 partitions
+    out = experiment.native_methods(df)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and plan.count("Sort [") == 3
+    want = {(m, s, p, i): None for m in ("Mean-Fill", "Forward-Fill", "Linear-Interp") for s, p, i, *_ in rows}
+    got = {(r.method, r.series_id, r.fraction, r.event_id): r.imputed for r in out.collect()}
+    assert got.keys() == want.keys() and all(v is not None for v in got.values())
+    assert got["Linear-Interp", 2, 0.1, 4] == pytest.approx(8.0) and got["Forward-Fill", 2, 0.1, 4] == 6.0
