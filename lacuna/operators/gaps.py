@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 import zlib
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .batches import in_series, put, whole_series
+
 #: Multiplier of the deterministic mask (Knuth's multiplicative hash).
 HASH_MULTIPLIER = 2654435761
 
@@ -110,20 +113,27 @@ def gap_mask(n: int, p: float, rng: np.random.Generator, block_ratio: float = 0.
 def inject_gaps(df: DataFrame, fractions: Sequence[float], seeds: Sequence[int], variant: str = "index", keys: Sequence[str] = ("series_id",), order: Sequence[str] = ("t",), value: str = "flux", **options) -> DataFrame:
     """``df`` once per (fraction, seed), with ``is_missing``, ``obs``, ``truth``: random blocks and scattered gaps.
 
-    One grouped kernel a (series, fraction, seed): the injected gaps depend on these alone.
+    Rows are dealt and sorted by series once; a task draws all masks of a series and writes it once for each. The injected gaps
+    depend on (series, fraction, seed) alone.
     """
     if variant != "mask" and any(not 0 < p < 1 for p in fractions):
         raise ValueError("fractions must lie between 0 and 1")
-    grid = df.withColumn("fraction", F.explode(F.array(*[F.lit(float(p)) for p in fractions]))).withColumn("seed", F.explode(F.array(*[F.lit(int(s)).cast("long") for s in seeds])))
-    out = grid.withColumn("is_missing", F.lit(False)).withColumn("obs", F.col(value)).withColumn("truth", F.col(value))
-    sort = list(order)
-
-    def run(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(sort, ignore_index=True)
-        rng = np.random.default_rng([int(frame["seed"].iloc[0]) & 0xFFFFFFFF, round(frame["fraction"].iloc[0] * 1000), *[key_seed(k) for k in key[: len(keys)]]])
-        gone = gap_mask(len(frame), float(frame["fraction"].iloc[0]), rng, variant=variant, **options)
-        frame["is_missing"] = gone
-        frame.loc[gone, "obs"] = None
-        return frame
-
-    return out.groupBy(*keys, "fraction", "seed").applyInPandas(run, out.schema)
+    runs = [(float(p), int(s)) for p in fractions for s in seeds]
+    extra = {"fraction": F.lit(0.0), "seed": F.lit(0).cast("long"), "is_missing": F.lit(False), "obs": F.col(value), "truth": F.col(value)}
+    schema = df.withColumns(extra).schema
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, ends, names in whole_series(batches, keys):
+            own = [[key_seed(k) for k in name] for name in names]
+            truth = table[value]
+            for p, seed in runs:
+                rngs = (np.random.default_rng([seed & 0xFFFFFFFF, round(p * 1000), *k]) for k in own)
+                gone = pa.array(np.concatenate([gap_mask(n, p, rng, variant=variant, **options) for n, rng in zip(np.diff(ends), rngs)]))
+                size = table.num_rows
+                one = table
+                for name, values in (("fraction", pa.array(np.full(size, p))), ("seed", pa.array(np.full(size, seed, dtype=np.int64))), ("is_missing", gone),
+                                     ("obs", pc.if_else(gone, pa.scalar(None, truth.type), truth)), ("truth", truth)):
+                    one = put(one, name, values)
+                yield from one.to_batches(max_chunksize=10_000)
+
+    return in_series(df, keys, order).mapInArrow(run, schema)

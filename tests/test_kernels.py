@@ -149,3 +149,55 @@ def test_run_costs_and_parameter_names(spark):
     assert got["Linear-Interp"].n_runs == 3 and got["Linear-Interp"].memory_peak is None
     with pytest.warns(UserWarning, match="takes no depth"):
         registry.impute(df, "gp_matern", {"depth": 3, "n_restarts": 1}, ("series_id",), ("t",))
+
+
+def test_series_in_batches_are_whole_and_keys_may_be_null():
+    import pyarrow as pa
+
+    from lacuna.operators.batches import whole_series
+
+    keys = [None] * 7 + [float("nan")] * 5 + [1.0] * 40 + [2.0] * 3 + [3.0] * 9
+    whole = pa.table({"k": pa.array(keys), "v": range(len(keys))}).combine_chunks()
+    got = [(t["v"].to_pylist()[a:b], str(k[0])) for t, ends, names in whole_series(whole.to_batches(max_chunksize=4), ["k"], rows=10) for (a, b), k in zip(zip(ends[:-1], ends[1:]), names)]
+    assert [len(v) for v, _ in got] == [7, 5, 40, 3, 9] and [x for v, _ in got for x in v] == list(range(len(keys)))
+    assert [k for _, k in got] == ["None", "nan", "1.0", "2.0", "3.0"]
+
+
+def test_gaps_need_one_exchange_of_the_plain_rows(spark):
+    rows = [(s, i, float(i), float(i % 5)) for s in range(6) for i in range(50)]
+    df = spark.createDataFrame(rows, "series_id long, event_id long, t double, flux double")
+    out = gaps.inject_gaps(df, [0.1, 0.3], [7, 8], shortest=2, longest=5)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "MapInArrow" in plan and "FlatMapGroupsInPandas" not in plan
+    for s, p, seed in ((0, 0.1, 7), (5, 0.3, 8)):
+        got = [r.is_missing for r in out.where((F.col("series_id") == s) & (F.col("fraction") == p) & (F.col("seed") == seed)).orderBy("t").collect()]
+        assert got == gaps.gap_mask(50, p, np.random.default_rng([seed, round(p * 1000), gaps.key_seed(s)]), shortest=2, longest=5).tolist()
+
+
+def _ragged():
+    r = np.random.default_rng(5)
+    for i, n in enumerate((2, 40, 61, 1, 55, 40, 70)):
+        t, gone = np.sort(r.uniform(0, 30, n)), r.random(n) < 0.3
+        gone[0] = False
+        yield t, np.where(gone, np.nan, np.sin(t) + i), gone, 1.0
+
+
+def test_networks_side_by_side_equal_single_ones():
+    opts = {"hidden_size": 5, "epochs": 4}
+    many = kernels.rnn_many([(*s, np.random.default_rng(i)) for i, s in enumerate(_ragged())], **opts)
+    for i, (s, got) in enumerate(zip(_ragged(), many)):
+        assert np.allclose(got, kernels.rnn_impute(*s, np.random.default_rng(i), **opts), rtol=0, atol=1e-12)
+
+
+def test_boosted_chains_side_by_side_equal_single_trees():
+    def fit(X, y):  # one series, one tree at a time
+        trees, f = [], np.full(len(y), y.mean())
+        for _ in range(4):
+            trees.append(kernels.Forest(X, y - f, np.arange(len(y))[None, :], 3, 1.0))
+            f = f + 0.3 * trees[-1].predict(X)
+        return lambda Z: y.mean() + 0.3 * sum((x.predict(Z) for x in trees), np.zeros(len(Z)))
+
+    many = kernels.gb_many([(*s, None) for s in _ragged()], L=2, n_estimators=4, max_depth=3, max_iter=2)
+    for (t, y, gone, period), got in zip(_ragged(), many):
+        want = kernels.chained(kernels.design(t, y, period, 2), fit, 2)[:, 0]
+        assert np.array_equal(got, np.where(gone, want, y))
