@@ -1,5 +1,7 @@
 """Kernels against independent formulas."""
 
+import datetime as dt
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -201,3 +203,31 @@ def test_boosted_chains_side_by_side_equal_single_trees():
     for (t, y, gone, period), got in zip(_ragged(), many):
         want = kernels.chained(kernels.design(t, y, period, 2), fit, 2)[:, 0]
         assert np.array_equal(got, np.where(gone, want, y))
+
+
+def test_boosted_trees_with_equal_values_and_scales_apart_equal_single_trees():
+    """Few different values (ties of bins and gains) and series of 1e-3 and 1e6 in one batch: each has the trees it has alone."""
+    r = np.random.default_rng(8)
+    sets = []
+    for n, scale in ((30, 1.0), (200, 1e6), (3, 1e-3), (120, 1e-3), (1, 5.0)):
+        X = np.column_stack([r.integers(0, 4, n), r.normal(size=n), np.ones(n)]).astype(float)
+        sets.append((X, scale * (X[:, 0] + r.integers(0, 3, n)), X[: max(1, n // 3)] + 0.1))
+    for (X, y, Z), got in zip(sets, kernels.boosted_many(sets, 6, 4, 0.3)):
+        f, total = np.full(len(y), y.mean()), np.zeros(len(Z))
+        for _ in range(6):
+            tree = kernels.Forest(X, y - f, np.arange(len(y))[None, :], 4, 1.0)
+            f, total = f + 0.3 * tree.predict(X), total + tree.predict(Z)
+        assert np.array_equal(got, y.mean() + 0.3 * total)
+
+
+@pytest.mark.parametrize("name,kernel", [("impute_gb_mice", "gb_mice")])
+def test_learned_queries_work_at_the_functions_full_settings(spark, tmp_path, name, kernel):
+    from lacuna.plans import catalogue, catalogue_kernels
+
+    rows = [(i, dt.datetime(2024, 1, 1) + dt.timedelta(hours=i), 3, "view", float(np.sin(i) + i % 7), None) for i in range(60)]
+    spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string").write.parquet(f"{tmp_path}/events.parquet")
+    x = catalogue_kernels.gapped30(spark, str(tmp_path)).orderBy("t", "event_id").toPandas()
+    y, gone = x["obs"].to_numpy(dtype=float), x["is_missing"].to_numpy()
+    want = getattr(kernels, kernel)(x["t"].to_numpy(), y, gone, 1.0, np.random.default_rng([gaps.key_seed(3), gaps.key_seed(0.3)]))
+    got = {r.event_id: r.imputed for r in catalogue.queries()[name](spark, str(tmp_path)).collect()}
+    assert len(got) == gone.sum() and all(abs(got[e] - v) < 2e-6 for e, v in zip(x["event_id"][gone], want[gone]))
