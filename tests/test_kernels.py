@@ -220,7 +220,7 @@ def test_boosted_trees_with_equal_values_and_scales_apart_equal_single_trees():
         assert np.array_equal(got, y.mean() + 0.3 * total)
 
 
-@pytest.mark.parametrize("name,kernel", [("impute_gb_mice", "gb_mice")])
+@pytest.mark.parametrize("name,kernel", [("impute_gb_mice", "gb_mice"), ("impute_rnn", "rnn_impute")])
 def test_learned_queries_work_at_the_functions_full_settings(spark, tmp_path, name, kernel):
     from lacuna.plans import catalogue, catalogue_kernels
 
