@@ -29,3 +29,15 @@ def test_folds_are_staged_and_models_see_files_only(spark):
     assert "Forest" not in out._jdf.queryExecution().logical().toString() and "Join" not in out._jdf.queryExecution().logical().toString()
     assert out.dtypes == [("fold", "int"), ("accuracy", "double"), ("macro_f1", "double"), ("mcc", "double")]
     assert [r.fold for r in out.orderBy("fold").collect()] == [0, 1, 2] and all(min(r[1:]) > 1 - 1e-9 for r in out.collect())
+
+
+def test_shape_features_of_words_sort_once_and_need_no_rank(spark, tmp_path):
+    from lacuna.plans import catalogue_kernels as ck
+
+    spark.range(40).selectExpr("id AS doc_id", "repeat(concat('ab c', id, ' '), 9) AS text").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.range(40).selectExpr("id AS doc_id", "CAST(id % 2 AS int) AS quality").write.parquet(f"{tmp_path}/labels.parquet")
+    out = ck._documents(spark, str(tmp_path))
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    plan = plan[:plan.index("Initial Plan")] if "Initial Plan" in plan else plan
+    assert plan.count("Sort [") == 1 and "ObjectHashAggregate" not in plan and "row_number" not in plan.replace("row_number() windowspecdefinition(series_id, label, t", "")
+    assert out.dtypes[:2] == [("series_id", "bigint"), ("label", "double")] and out.count() == 40
